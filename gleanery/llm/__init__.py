@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules():
-    from gleanery.llm import boilerplate, residue
+    from gleanery.llm import boilerplate, language, residue
 
-    return [boilerplate, residue]
+    return [boilerplate, language, residue]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

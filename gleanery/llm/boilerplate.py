@@ -192,8 +192,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines outside the main body, of raw_pages (but for those that p3_found lists) and of processed_docs."""
     pages, docs = labelled_corpus(spark, sf_dir)
     bad = residue_pages(pages)
-    raw = pages.join(bad, pages.rec_id == bad.page_id, "left_anti").select(F.lit("raw_pages").alias("src"), "rec_id", F.explode("boiler").cast("long").alias("line_no"))
-    text = docs.select(F.lit("processed_docs").alias("src"), "rec_id", F.explode("boiler").cast("long").alias("line_no"))
+    raw = pages.join(bad, pages.rec_id == bad.page_id, "left_anti").select(F.lit("raw_pages").alias("src"), "rec_id", F.explode(F.col("boiler").cast("array<bigint>")).alias("line_no"))
+    text = docs.select(F.lit("processed_docs").alias("src"), "rec_id", F.explode(F.col("boiler").cast("array<bigint>")).alias("line_no"))
     return raw.unionByName(text)
 
 
