@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules():
-    from gleanery.llm import boilerplate, language, residue
+    from gleanery.llm import boilerplate, capping, language, neardup, packing, repeated_lines, residue, tokens, truncation
 
-    return [boilerplate, language, residue]
+    return [language, boilerplate, residue, capping, neardup, repeated_lines, tokens, packing, truncation]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

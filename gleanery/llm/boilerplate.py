@@ -21,6 +21,7 @@ LABELLED = "rec_id bigint, host string, boiler array<int>, body_no array<int>, b
 _WORD = re.compile(r"[^\W\d_]+")
 _CODE = re.compile(r"[;{}]\s*$|^\s*(?:def|class|import|from|return|const|let|var|func|if|for|while|SELECT|INSERT|UPDATE)\b.*[(){}=;<>|$]|^\s*(?:#!|//|>>>)|^\s*\$ |^\s*[\w.-]+:\s*(?:true|false|\d+)?\s*$|=>|\w\(.*\)\s*[;:{]?\s*$|\w+ = \w")
 _BULLET = re.compile(r"^\s*(?:[*•‣◦·+-]|\d{1,2}[.)])\s")
+_PART = re.compile(r"[/|·•›»>,#]|\s[–—-]\s")
 _PARTS = re.compile(r"\s*[/|·•›»>,#]\s*|\s+[–—-]\s+")
 
 
@@ -45,8 +46,10 @@ def _teaser(text: str, brand: str, templates: Templates) -> bool:
 
 def _menu(text: str, brand: str, templates: Templates) -> bool:
     """Several short parts of which most are menu entries."""
+    if len(text) > 200 or not _PART.search(text):
+        return False
     parts = [p for p in _PARTS.split(text) if p]
-    if len(parts) < 2 or len(text) > 200:
+    if len(parts) < 2:
         return False
     known = sum(templates.of(*line_keys(p, brand)) in ("N", "B") for p in parts)
     return known * 3 >= len(parts) * 2
@@ -70,7 +73,11 @@ def label_page(host: str, main: str, paths: list[str], lines: list, templates: T
             ok = not _menu(text, brand, templates)
         out.append(ok)
     # Blocks of links to other pages at the end of the main container: headings that no text follows.
-    last = max((i for i, (x, ok) in enumerate(zip(lines, out)) if ok and (_paragraph(x[1]) or x[3] in "LC") and not _teaser(x[1], brand, templates)), default=None)
+    last = None
+    for i in range(len(lines) - 1, -1, -1):
+        if out[i] and (lines[i][3] in "LC" or _paragraph(lines[i][1])) and not _teaser(lines[i][1], brand, templates):
+            last = i
+            break
     if last is not None:
         for i in range(last + 1, len(lines)):
             if out[i] and (lines[i][7] > 0.5 or _teaser(lines[i][1], brand, templates)):
@@ -185,7 +192,7 @@ def labelled_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     """Labelled raw_pages and processed_docs, each written once to the shared folder."""
     pages, docs, templates = corpus(spark, sf_dir)
     titles = load(spark, sf_dir, "processed_docs").select(F.col("proc_id").alias("rec_id"), "title")
-    return cut(label(pages, templates), "labelled-pages"), label(docs, templates, titles)
+    return cut(label(pages, templates).select("rec_id", "boiler", "about"), "labelled-pages"), label(docs, templates, titles)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,28 +44,29 @@ _NOTICE = re.compile(
     r"|не найден|внутренняя ошибка|^ошибка|запрещ[её]н|нет прав|скрипт|техническ\w+ работ|обслуживани|удалена|не удалось|скоро верн[её]мся|недоступн|больше не существует"
 )
 _TOKEN = re.compile(r"\w[\w'’-]*")
+_EDGES = ".,:;!?…()[]{}«»“”„\"'–—-·|/"
 _SPLIT = re.compile(r"(?<=[.!?…])\s+|\s+[/|]\s+")
 
 
 def template_of(sentence: str) -> int:
     """The leaf of a sentence: its first tokens, names behind the first token and digits masked."""
     path = []
-    for m in _TOKEN.finditer(sentence):
-        t = m.group()
+    for t in sentence.split(None, DEPTH)[:DEPTH]:
+        t = t.strip(_EDGES)
+        if not t:
+            continue
         if t[0].isdigit():
             t = "0"
         elif path and t[0].isupper() and not t.isupper():
             t = "C"
         path.append(t.lower() if t != "C" else t)
-        if len(path) == DEPTH:
-            break
     return _hash("m:" + " ".join(path)) if path else 0
 
 
 def describe(core: list[str], running: list[str]) -> tuple[int, int, list[dict], list[int], int, bool]:
     """Of a page's main area: words, words of running text, sentences (template, context, notice phrase, running text), contexts of slots (0 for none), empty values, dummy text."""
-    words = sum(len(_TOKEN.findall(x)) for x in core)
-    text_words = sum(len(_TOKEN.findall(x)) for x in running)
+    words = sum(x.count(" ") + 1 for x in core)
+    text_words = sum(x.count(" ") + 1 for x in running)
     text_lines = set(running)
     parts, ordinary = [], []
     for x in core:
@@ -129,7 +130,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.session import cut
 
     pages, _, templates = corpus(spark, sf_dir, texts=False)
-    return residue_pages(cut(label(pages, templates), "labelled-pages"))
+    return residue_pages(cut(label(pages, templates).select("rec_id", "about"), "labelled-pages"))
 
 
 QUERIES = {"p3_found": p3_found}
