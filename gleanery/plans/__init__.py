@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules():
-    from gleanery.plans import dates
+    from gleanery.plans import dates, intelligence, quality, search, texts, urls
 
-    return [dates]
+    return [search, urls, texts, quality, intelligence, dates]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,4 +22,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p6_found"](spark, sf_dir)
+    return queries()["bm25_topk"](spark, sf_dir)
