@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.pages import SENTENCE_END, Templates, _hash, brand_of, host_main_paths, line_keys, parse, template_keys
 from gleanery.llm.residue import describe, residue_pages
-from gleanery.session import cut, load
+from gleanery.session import cut, discard, load
 
 LABELLED = "rec_id bigint, host string, boiler array<int>, body_no array<int>, body array<string>, about struct<words:int,text_words:int,sentences:array<struct<template:bigint,context:bigint,notice:boolean,text:boolean>>,slots:array<bigint>,empty:int,dummy:boolean>"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -192,7 +192,9 @@ def labelled_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     """Labelled raw_pages and processed_docs, each written once to the shared folder."""
     pages, docs, templates = corpus(spark, sf_dir)
     titles = load(spark, sf_dir, "processed_docs").select(F.col("proc_id").alias("rec_id"), "title")
-    return cut(label(pages, templates).select("rec_id", "boiler", "about"), "labelled-pages"), label(docs, templates, titles)
+    labelled = cut(label(pages, templates).select("rec_id", "boiler", "about"), "labelled-pages")
+    discard(pages)
+    return labelled, label(docs, templates, titles)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

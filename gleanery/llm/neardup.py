@@ -3,6 +3,8 @@
 Method: minhash with tensored banding. Two small collections of sub-bands are computed; each table key combines one sub-band of either, so
 t x t keys come from 2 t sub-bands' minhashes. Two bodies that share a key are candidates, and every candidate pair is verified by
 its exact similarity. Bodies with equal shingles are one class: only its representative is compared, and members are joined in at the end.
+Only sub-bands and sketches are kept for every text; the keys are combined on the way into the one shuffle that needs them, and shingles are
+made again for the texts that are in a candidate pair.
 """
 
 from __future__ import annotations
@@ -16,13 +18,13 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.boilerplate import corpus, label
 from gleanery.llm.residue import residue_pages
-from gleanery.session import cut
+from gleanery.session import cut, discard
 
 #: Sub-bands of each of the two collections, and minhashes of each sub-band.
 SUB_BANDS, ROWS = 16, 2
 SIMILARITY, WIDTH, MIN_WORDS = 0.5, 3, 40
 
-SIGNED = "rec_id bigint, same bigint, words int, shingles array<bigint>, sketch array<smallint>, keys array<bigint>"
+SIGNED = "rec_id bigint, same bigint, words int, sketch array<int>, bands array<bigint>"
 _WORD = re.compile(r"\w+")
 _MASK = (1 << 64) - 1
 
@@ -37,7 +39,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Signer:
-    """Shingles, sketch and table keys of a text."""
+    """Shingles, sketch and sub-bands of a text."""
 
     def __init__(self, width: int = WIDTH, sub_bands: int = SUB_BANDS, rows: int = ROWS, seed: int = 11):
         self.width, self.sub_bands, self.rows = width, sub_bands, rows
@@ -79,8 +81,14 @@ class Signer:
             for row in low.reshape(2 * self.sub_bands, self.rows).T:
                 bands = _mix(bands ^ row)
             bands = _mix(bands * self.place)
-            keys = _mix(bands[: self.sub_bands, None] + bands[None, self.sub_bands :] * np.uint64(5)).ravel()
-        return low.astype(np.uint16).view(np.int16), keys.view(np.int64)
+        return low.astype(np.uint16).astype(np.int32), bands.view(np.int64)
+
+
+def _lists(parts, kind):
+    import pyarrow as pa
+
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, kind)))
 
 
 def _sign_batches(width: int, min_words: int, sub_bands: int, rows: int):
@@ -88,50 +96,59 @@ def _sign_batches(width: int, min_words: int, sub_bands: int, rows: int):
         import pyarrow as pa
 
         signer = Signer(width, sub_bands, rows)
-
-        def lists(parts, kind=np.int64):
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, kind)))
-
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at in range(0, len(ids), 1000):
-                kept, same, sizes, shingles, sketches, keys = [], [], [], [], [], []
+                kept, same, sizes, sketches, bands = [], [], [], [], []
                 for rec, text in zip(ids[at : at + 1000], texts[at : at + 1000]):
                     words = _WORD.findall((text or "").lower())
                     if len(words) < min_words:
                         continue
                     s = signer.shingles(words)
-                    sketch, k = signer.sign(s)
+                    sketch, b = signer.sign(s)
                     with np.errstate(over="ignore"):
                         whole = int(_mix(s).sum(dtype=np.uint64) ^ np.uint64(len(s)))
                     kept.append(rec)
                     same.append(whole - (1 << 63))
                     sizes.append(len(words))
-                    shingles.append(s.view(np.int64))
                     sketches.append(sketch)
-                    keys.append(k)
-                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(same, pa.int64()), pa.array(sizes, pa.int32()), lists(shingles), lists(sketches, np.int16), lists(keys)], ["rec_id", "same", "words", "shingles", "sketch", "keys"])
+                    bands.append(b)
+                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(same, pa.int64()), pa.array(sizes, pa.int32()), _lists(sketches, np.int32), _lists(bands, np.int64)], ["rec_id", "same", "words", "sketch", "bands"])
+
+    return run
+
+
+def _shingle_batches(width: int):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        signer = Signer(width)
+        for batch in batches:
+            found = [signer.shingles(_WORD.findall((t or "").lower())).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found, np.int64)], ["class_id", "shingles"])
 
     return run
 
 
 def sign(texts: DataFrame, record: str, text: str, width: int = WIDTH, min_words: int = MIN_WORDS, sub_bands: int = SUB_BANDS, rows: int = ROWS) -> DataFrame:
-    """rec_id, same (hash of the shingle set), words, shingles, sketch and keys of each text with min_words words or more (null: none)."""
+    """rec_id, same (hash of the shingle set), words, sketch and sub-bands of each text with min_words words or more (null: none)."""
     return texts.select(F.col(record).cast("bigint").alias("rec_id"), F.col(text).alias("text")).mapInArrow(_sign_batches(width, min_words, sub_bands, rows), SIGNED)
 
 
-def class_pairs(signed: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def class_pairs(signed: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """(members, links): (rec_id, class_id) for every signed record, and (class_a, class_b, similarity) for classes at or above similarity.
 
-    class_id is the smallest rec_id with the same shingle set. A candidate must share a table key; its exact similarity decides. Keys of a
-    hot group meet only between different shingle sets, as equal ones are one class.
+    signed: see sign; texts (rec_id, text): what was signed, one row for each rec_id. class_id is the smallest rec_id with the same
+    shingle set. A candidate must share a table key; its exact similarity decides. Keys of a hot group meet only between different shingle
+    sets, as equal ones are one class.
     """
-    members = cut(signed.select("rec_id", "same").distinct().join(signed.groupBy("same").agg(F.min("rec_id").alias("class_id")), "same"), "members")
-    heads = cut(signed.join(members.select("class_id").distinct(), signed.rec_id == F.col("class_id")).dropDuplicates(["class_id"]).select("class_id", "shingles", "sketch", "keys"), "heads")
-    keys = heads.select("class_id", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    keys = cut(keys.join(shared, "key", "left_semi"), "shared-keys")
+    members = cut(signed.select("rec_id", "same").distinct().join(signed.groupBy("same").agg(F.min("rec_id").alias("class_id")), "same").select("rec_id", "class_id"), "members")
+    heads = cut(signed.join(members.where("rec_id = class_id").select("class_id").distinct(), signed.rec_id == F.col("class_id")).dropDuplicates(["class_id"]).select("class_id", "sketch", "bands"), "heads")
+    half = (F.size("bands") / 2).cast("int")
+    first, second = F.slice("bands", F.lit(1), half), F.slice("bands", half + 1, half)
+    # Each key is one number; the place of its sub-bands is mixed into them already.
+    combined = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: F.xxhash64(a, b))))
+    keys = heads.select("class_id", F.explode(combined).alias("key"))
     pairs = keys.alias("x").join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.class_id") < F.col("y.class_id"))).select(F.col("x.class_id").alias("class_a"), F.col("y.class_id").alias("class_b")).distinct()
     # Sketches first: pairs whose equal minhashes lie four standard deviations below the threshold never meet their shingles.
     n = 2 * SUB_BANDS * ROWS
@@ -139,25 +156,30 @@ def class_pairs(signed: DataFrame, similarity: float = SIMILARITY) -> tuple[Data
     sa, sb = heads.select(F.col("class_id").alias("class_a"), F.col("sketch").alias("sketch_a")), heads.select(F.col("class_id").alias("class_b"), F.col("sketch").alias("sketch_b"))
     alike = F.size(F.filter(F.zip_with("sketch_a", "sketch_b", lambda x, y: x == y), lambda x: x))
     pairs = cut(pairs.join(sa, "class_a").join(sb, "class_b").where(alike * n >= least * F.size("sketch_a")).select("class_a", "class_b"), "candidates")
-    a, b = heads.select(F.col("class_id").alias("class_a"), F.col("shingles").alias("shingles_a")), heads.select(F.col("class_id").alias("class_b"), F.col("shingles").alias("shingles_b"))
+    needed = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct()
+    shingles = texts.join(needed, texts.rec_id == needed.class_id, "left_semi").select("rec_id", "text").dropDuplicates(["rec_id"]).mapInArrow(_shingle_batches(width), "class_id bigint, shingles array<bigint>")
+    shingles = cut(shingles, "shingles")
+    a, b = shingles.select(F.col("class_id").alias("class_a"), F.col("shingles").alias("shingles_a")), shingles.select(F.col("class_id").alias("class_b"), F.col("shingles").alias("shingles_b"))
     both = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    exact = pairs.join(a, "class_a").join(b, "class_b").where(F.least(F.size("shingles_a"), F.size("shingles_b")) >= similarity * F.greatest(F.size("shingles_a"), F.size("shingles_b")))
-    exact = exact.select("class_a", "class_b", (both / (F.size("shingles_a") + F.size("shingles_b") - both)).alias("similarity"))
-    return members.select("rec_id", "class_id"), exact.where(F.col("similarity") >= similarity)
+    exact = pairs.join(a, "class_a").join(b, "class_b").select("class_a", "class_b", (both / (F.size("shingles_a") + F.size("shingles_b") - both)).alias("similarity"))
+    return members, exact.where(F.col("similarity") >= similarity)
 
 
-def signed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signed main bodies of raw_pages without the pages that p3_found lists. A page_id crawled again with another body takes part with each."""
+def page_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """class_pairs over the main bodies of raw_pages without the pages that p3_found lists. Of several crawls of a page_id the one with the longest body counts."""
     pages, _, templates = corpus(spark, sf_dir, texts=False)
     labelled = cut(label(pages, templates).select("rec_id", "about", F.array_join("body", "\n").alias("body")), "labelled-pages")
+    discard(pages)
     bad = residue_pages(labelled)
-    good = labelled.join(bad, labelled.rec_id == bad.page_id, "left_anti").select("rec_id", "body")
-    return cut(sign(good, "rec_id", "body"), "signed")
+    good = labelled.join(bad, labelled.rec_id == bad.page_id, "left_anti").groupBy("rec_id").agg(F.max(F.struct(F.length("body"), F.col("body").alias("text"))).alias("b")).select("rec_id", "b.text")
+    good = cut(good, "bodies")
+    discard(labelled)
+    return class_pairs(cut(sign(good, "rec_id", "text"), "signed"), good)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of pages whose bodies share half of their sets of three words or more; equal bodies count."""
-    members, links = class_pairs(signed_pages(spark, sf_dir))
+    members, links = page_classes(spark, sf_dir)
     a, b = members.alias("a"), members.alias("b")
     equal = a.join(b, (F.col("a.class_id") == F.col("b.class_id")) & (F.col("a.rec_id") < F.col("b.rec_id"))).select(F.col("a.rec_id").alias("page_id_a"), F.col("b.rec_id").alias("page_id_b"))
     near = links.join(a, F.col("class_a") == F.col("a.class_id")).join(b, F.col("class_b") == F.col("b.class_id")).where(F.col("a.rec_id") != F.col("b.rec_id"))
@@ -167,7 +189,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each page: its class and the number of other classes linked to it."""
-    members, links = class_pairs(signed_pages(spark, sf_dir))
+    members, links = page_classes(spark, sf_dir)
     ends = links.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
     return members.join(ends, "class_id", "left").select(F.col("rec_id").alias("page_id"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 

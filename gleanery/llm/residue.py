@@ -127,10 +127,12 @@ def residue_pages(labelled: DataFrame, min_contexts: int = MIN_CONTEXTS, ratio:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of raw_pages without real content, whatever their status."""
     from gleanery.llm.boilerplate import corpus, label
-    from gleanery.session import cut
+    from gleanery.session import cut, discard
 
     pages, _, templates = corpus(spark, sf_dir, texts=False)
-    return residue_pages(cut(label(pages, templates).select("rec_id", "about"), "labelled-pages"))
+    labelled = cut(label(pages, templates).select("rec_id", "about"), "labelled-pages")
+    discard(pages)
+    return residue_pages(labelled)
 
 
 QUERIES = {"p3_found": p3_found}
