@@ -55,4 +55,15 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    kept = spark.read.parquet(path)
+    kept._cut_path = path
+    return kept
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what cut() wrote, once all that was derived from it has been written itself."""
+    path = getattr(df, "_cut_path", None)
+    if path:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)

@@ -15,9 +15,10 @@ def table_stream(spark: SparkSession, sf_dir: str, table: str, files_per_trigger
     """A table of a data directory as a file stream, newest files first, a few files in a micro-batch (the back-pressure)."""
     path = f"{sf_dir}/{table}.parquet"
     schema = spark.read.parquet(path).schema
-    # One file or a directory of parts: the glob matches either without reading a part twice.
-    source = os.path.join(path, "*.parquet") if os.path.isdir(path) else path
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("latestFirst", True).parquet(source)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("latestFirst", True)
+    if os.path.isfile(path):  # a file source wants a directory
+        return reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    return reader.parquet(path)
 
 
 def first_seen(stream: DataFrame, key: str, time: str, delay: str = "30 days") -> DataFrame:
