@@ -41,8 +41,8 @@ def suitor_matching(proposals: DataFrame, capacity: Column | int, record: str =
         if single:
             return ranked.groupBy("r").agg(F.min(within).alias("kept")).select(F.col("r").alias(record), "kept")
         held = cut(ranked.groupBy("r").agg(F.min(within).alias("all_within")).where("all_within").select("r"), "held")
-        taken = open_.join(held, "r", "left_semi").groupBy("c").agg(F.count("*").alias("taken"))
-        rest = open_.join(held, "r", "left_anti").join(taken, open_.c.eqNullSafe(taken.c), "left").select("r", open_.c, "q", (F.col("cap") - F.coalesce("taken", F.lit(0))).alias("cap"))
+        taken = open_.join(held, "r", "left_semi").groupBy(F.col("c").alias("tc")).agg(F.count("*").alias("taken"))
+        rest = open_.join(held, "r", "left_anti").join(taken, F.col("c").eqNullSafe(F.col("tc")), "left").select("r", "c", "q", (F.col("cap") - F.coalesce("taken", F.lit(0))).alias("cap"))
         out = rest.groupBy("r").agg(F.max((F.col("cap") <= 0) & F.col("c").isNotNull()).alias("full"))
         out = cut(out.where("full").select("r"), "displaced")
         verdicts = held.withColumn("kept", F.lit(True)).unionByName(out.withColumn("kept", F.lit(False)))

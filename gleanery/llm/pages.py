@@ -256,8 +256,8 @@ def host_main_paths(parsed: DataFrame) -> DataFrame:
 def _keyed(parsed: DataFrame) -> DataFrame:
     """Each line's keys with its code (O outside the main container, else the kind of element; X plain text) and its two contexts.
 
-    A context is the neighbouring line; at either end of a record it is the record itself, outside main containers the host
-    (menus keep their order on all pages of a host).
+    A context is the neighbouring line; at either end of a record or main container it is the record itself, outside main containers the
+    host (menus keep their order on all pages of a host).
     """
     inside = lambda p: (p == F.col("main")) | p.startswith(F.concat(F.col("main"), F.lit(">")))
     flagged = parsed.where(F.size("lines") > 0).withColumn("__in", F.transform("paths", inside))
@@ -265,7 +265,8 @@ def _keyed(parsed: DataFrame) -> DataFrame:
 
     def line(i: Column) -> Column:
         code = F.when(at(i, "kind") == "X", "X").when(F.get(F.col("__in"), at(i, "path")), at(i, "kind")).otherwise("O")
-        ends = lambda j: F.when(code == "O", F.xxhash64("host")).otherwise(F.coalesce(at(j, "a"), F.xxhash64("rec_id")))
+        within = lambda j: F.coalesce(F.get(F.col("__in"), at(j, "path")), F.lit(False))
+        ends = lambda j: F.when(code == "O", F.xxhash64("host")).when(within(j), at(j, "a")).otherwise(F.xxhash64("rec_id"))
         return F.struct(at(i, "a").alias("a"), at(i, "b").alias("b"), at(i, "l").alias("l"), code.alias("code"), ends(i - 1).alias("before"), ends(i + 1).alias("after"))
 
     rows = flagged.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("lines") - 1), line)).alias("x"))

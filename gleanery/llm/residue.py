@@ -21,6 +21,8 @@ DEPTH = 3
 BARE_WORDS = 40
 #: A template without such phrases is a message if it stands in so many contexts on bare pages, and this many times oftener there than on others.
 MIN_CONTEXTS, RATIO = 5, 3.0
+#: Where more pages than this share are bare, being on bare pages says nothing: then only the phrases of notices count.
+MAX_BARE = 0.3
 
 _SLOT = re.compile(
     r"\{\{[^{}\n]{0,60}\}\}|\$\{[^{}\n]{1,60}\}|#\{[^{}\n]{1,60}\}|<%=?[^%\n]{1,60}%>|\{%[^%\n]{1,60}%\}|\[\[[^\[\]\n]{1,60}\]\]|%[A-Za-z_][\w.]*%|(?<!\w)__[A-Za-z]\w*?(?:\.\w+)*__(?!\w)"
@@ -114,11 +116,12 @@ def residue_pages(labelled: DataFrame, min_contexts: int = MIN_CONTEXTS, ratio:
     where = sentences.groupBy("template").agg(F.sum(F.col("bare").cast("int")).alias("on_bare"), F.sum((~F.col("bare")).cast("int")).alias("on_full"), F.max(F.col("notice").cast("int")).alias("notice"))
     verdict = (
         F.when((F.col("notice") == 1) & (F.col("on_bare") >= F.col("on_full")), "message")
-        .when((F.col("contexts") >= min_contexts) & (F.col("on_bare") >= ratio * F.col("on_full")), "message")
+        .when(F.col("few_bare") & (F.col("contexts") >= min_contexts) & (F.col("on_bare") >= ratio * F.col("on_full")), "message")
         .when(F.col("on_full") > ratio * F.col("on_bare"), "other")
         .otherwise("unknown")
     )
-    judged = where.where("on_bare > 0").join(spread, "template").select("template", verdict.alias("verdict"))
+    few = about.agg((F.count_if("bare") <= MAX_BARE * F.count("*")).alias("few_bare"))  # one row
+    judged = where.where("on_bare > 0").join(spread, "template").crossJoin(F.broadcast(few)).select("template", verdict.alias("verdict"))
     votes = sentences.where("bare").join(judged, "template").groupBy("rec_id").agg(F.sum((F.col("verdict") == "message").cast("int")).alias("messages"), F.sum(((F.col("verdict") != "message") & F.col("text")).cast("int")).alias("others"))
     shown = votes.where((F.col("messages") > 0) & (F.col("messages") >= F.col("others"))).select("rec_id")
     return unfilled.unionByName(plain).unionByName(shown).select(F.col("rec_id").alias("page_id")).distinct()
