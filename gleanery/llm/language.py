@@ -33,6 +33,8 @@ MIN_BITS, MIN_BITS_PER_BYTE = 20.0, 0.35
 #: Bits by which a language of the site's whitelist is preferred for a whole document.
 WHITELIST_BITS = 4.0
 
+_TWO_LETTERS = re.compile(r"[^\W\d_].*?[^\W\d_]")
+
 SEGMENTS = "rec_id bigint, main string, confidence double, lines array<struct<line_no:int,lang:string,confidence:double,bits:double,margin:double,foreign:boolean>>"
 
 
@@ -65,9 +67,8 @@ def _scorer(trees: ContextTrees, min_bits: float, min_rate: float):
             recs, numbers, bodies, white = (batch.column(i).to_pylist() for i in range(4))
             flat = [x for b in bodies for x in b]
             costs = trees.line_costs(flat)
-            sizes = np.array([len(re.sub(r"\d", "", x).encode()) for x in flat], np.float64)
-            letters = np.array([len(re.findall(r"[^\W\d_]", x)) for x in flat], np.float64)
-            prose = np.array([not _CODE.search(x) for x in flat], bool) & (letters >= 2)
+            sizes = np.array([len(x.encode()) for x in flat], np.float64)
+            prose = np.array([bool(_TWO_LETTERS.search(x)) and not _CODE.search(x) for x in flat], bool)
             out, at = [], 0
             for rec, no, wl in zip(recs, numbers, white):
                 c, size, ok = costs[at : at + len(no)], sizes[at : at + len(no)], prose[at : at + len(no)]

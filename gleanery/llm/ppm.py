@@ -9,12 +9,18 @@ each distinct window of K + 1 bytes in the batch is scored for all languages, th
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
+_DIGITS = re.compile(r"\d+")
+#: Windows whose costs are kept for the next batch; only speed depends on it.
+_KEPT_WINDOWS = 1_000_000
+
 
 def fold(text: str) -> bytes:
     """The bytes that are coded: lower case, white space runs as one space, digits left out."""
-    return (" " + " ".join("".join(c for c in text.lower() if not c.isdigit()).split())).encode("utf-8", "replace")
+    return (" " + " ".join(_DIGITS.sub("", text.lower()).split())).encode("utf-8", "replace")
 
 
 class ContextTrees:
@@ -95,6 +101,29 @@ class ContextTrees:
             before_known = known
         return cost + np.where(active, np.log2(256 - np.where(before_known, before_distinct, 0)), 0)
 
+    def _costs_of(self, windows: np.ndarray) -> np.ndarray:
+        """window_costs of sorted distinct windows, by way of those that earlier batches had."""
+        known, costs = self.__dict__.get("_kept", (np.empty(0, np.uint64), np.empty((0, len(self.languages)), np.float32)))
+        at = np.searchsorted(known, windows)
+        old = np.zeros(len(windows), bool)
+        if len(known):
+            old = known[np.minimum(at, len(known) - 1)] == windows
+        out = np.empty((len(windows), len(self.languages)), np.float32)
+        out[old] = costs[at[old]]
+        new = windows[~old]
+        if len(new):
+            out[~old] = fresh = self.window_costs(new)
+            if len(known) + len(new) > _KEPT_WINDOWS:
+                known, costs = windows, out
+            else:
+                place = np.searchsorted(known, new)
+                known, costs = np.insert(known, place, new), np.insert(costs, place, fresh, axis=0)
+            self._kept = (known, costs)
+        return out
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_kept"}
+
     def line_costs(self, lines: list[str], block: int = 1 << 20) -> np.ndarray:
         """Code length in bits of each line by language: an array of lines x languages. An empty line costs 0."""
         out = np.zeros((len(lines), len(self.languages)), np.float64)
@@ -112,7 +141,7 @@ class ContextTrees:
             begins = np.concatenate([[0], np.cumsum(sizes + self.order)[:-1]])
             if len(data):
                 windows, inverse = np.unique(self._windows(data), return_inverse=True)
-                costs = self.window_costs(windows)
+                costs = self._costs_of(windows)
                 flags = np.zeros(len(data) + 1, np.int8)
                 np.add.at(flags, begins, 1)
                 np.add.at(flags, np.minimum(begins + sizes, len(data)), -1)
