@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gleanery.functions import gates as G
 from gleanery.functions import html as H
+from gleanery.functions.extract import extract
 from gleanery.functions.url import HIGH_PRIORITY, bare_domain, crawl_priority
 from gleanery.session import load
 
@@ -41,7 +43,17 @@ def links_by_host(spark, d):
     return each.groupBy("site").agg(F.countDistinct("page_id").alias("pages"), F.count("target").alias("links"), F.count_if(bare_domain(F.col("target")) != F.col("site")).alias("outward"))
 
 
-QUERIES = {f.__name__: f for f in (page_gates, page_metadata, page_links, discovered_links, links_by_host)}
+def page_language(spark, d):
+    c = F.col("content")
+    return _pages(spark, d).select("page_id", G.language_info(c, F.col("url")).alias("i"), F.round(G.technical_score(c), 6).alias("technical")).select("page_id", "i.language", "i.confidence", "i.english_url", "technical")
+
+
+def page_extraction(spark, d):
+    """Metadata, main text and headings of every page from its element tree."""
+    return extract(_pages(spark, d), "page_id", "url", "content")
+
+
+QUERIES = {f.__name__: f for f in (page_gates, page_metadata, page_links, discovered_links, links_by_host, page_language, page_extraction)}
 
 from gleanery.functions.url import excluded_regex  # noqa: E402
 from gleanery.plans.urls import _norm  # noqa: E402
@@ -61,7 +73,13 @@ j AS (SELECT page_id, base, depth, CASE WHEN contains(link, '://') THEN link WHE
 n AS (SELECT DISTINCT page_id, base, depth, {_norm("joined")} AS target FROM j), l AS (SELECT * FROM n WHERE target <> '' AND NOT regexp_matches(lower(target), '{excluded_regex()}') AND length(target) <= 500)"""
 _SITE = r"regexp_replace(lower(regexp_extract({0}, '^.*?://([^/?#]*)', 1)), '^www\.', '')"
 _PRIO = f"round(least(greatest(0.1, 1.0 - depth * 0.15) * CASE WHEN d IN ({', '.join(repr(x) for x in HIGH_PRIORITY)}) OR contains(d, '.edu') OR contains(d, '.gov') THEN 1.3 ELSE 1.0 END * CASE WHEN contains(d, 'news') OR contains(d, 'wiki') THEN 1.2 ELSE 1.0 END * CASE WHEN length(url) > 200 THEN 0.8 ELSE 1.0 END, 2.0)::DOUBLE, 6)"
+_DOM, _PATH = r"lower(regexp_extract(url, '^.*?://([^/?#]*)', 1))", r"lower(regexp_extract(url, '^.*?://[^/]*(/[^?#]*)', 1))"
+_BY_URL = rf"CASE WHEN {_DOM} = '' THEN NULL WHEN regexp_matches({_DOM}, '^(?:en|english)\.') THEN 'en' WHEN regexp_matches({_DOM}, '^(?:{'|'.join(G.OTHER_SUBDOMAINS)})\.') THEN 'non-en' WHEN regexp_matches({_DOM}, '{'|'.join(G.ENGLISH_HOSTS)}') THEN 'en' WHEN regexp_matches({_PATH}, '/(?:en|english)/') THEN 'en' WHEN regexp_matches({_PATH}, '/(?:{'|'.join(G.OTHER_PATHS)})/') THEN 'non-en' WHEN regexp_extract({_DOM}, '([^.:]*)(?::[0-9]+)?$', 1) IN ({', '.join(repr(x) for x in G.ENGLISH_TLDS)}) THEN 'en' END"
+_SHARES = ", ".join(f"len(list_filter(w, lambda x: list_contains({v.split()!r}, x))) / greatest(len(w), 1) AS s_{k}" for k, v in G.FREQUENT.items())
+_BEST = "greatest(" + ", ".join(f"s_{k}" for k in G.FREQUENT) + ")"
 SQL = {
+    "page_language": rf"""WITH a AS (SELECT page_id, content, {_BY_URL} AS u, nullif(lower(regexp_extract(content, 'lang=["'']?([^"''\s>]{{2}})', 1)), '') AS h, regexp_extract_all(lower(regexp_replace(regexp_replace(content, '<[^>]*>', ' ', 'g'), 'https?://\S+', ' ', 'g')), '\p{{L}}+') AS w FROM raw_pages), s AS (SELECT *, {_SHARES} FROM a), b AS (SELECT *, coalesce(u = 'en', false) AS english_url, CASE WHEN coalesce({_BEST}, 0) < 0.08 THEN NULL {" ".join(f"WHEN s_{k} = {_BEST} THEN '{k}'" for k in G.FREQUENT)} END AS by_words FROM s), c AS (SELECT *, CASE WHEN trim(coalesce(content, '')) = '' THEN NULL WHEN english_url THEN 'en' ELSE coalesce(h, by_words) END AS language FROM b)
+SELECT page_id, language, CASE WHEN language IS NULL THEN 0.0 WHEN english_url THEN 0.95 ELSE 0.8 END::DOUBLE AS confidence, english_url, round(len(regexp_extract_all(content, '(?i)\b(?:{'|'.join(G.TECHNICAL)})\b')) / greatest(strlen(content), 1) * 1000, 6) AS technical FROM c""",
     "page_gates": f"SELECT page_id, coalesce(strlen(content) BETWEEN 500 AND 10485760 AND (contains(content, '<html') OR contains(content, '<!DOCTYPE')) AND {_LET.format('content')} > 200, false) AS good, coalesce(regexp_matches(lower(substr(content, 1, 500)), '<html|<!doctype|<head|<body') AND {_LET.format('substr(content, 1, 5000)')} > 300, false) AS promising, coalesce(regexp_matches(lower(substr(content, 1, 1000)), '<html|<!doctype|<body'), false) AS html FROM raw_pages",
     "page_metadata": f"WITH m AS (SELECT page_id, url, content, coalesce({_META.format('og:title')}, {_META.format('twitter:title')}, {_EL.format('title')}, {_EL.format('h1')}) AS title, coalesce({_META.format('og:description')}, {_META.format('twitter:description')}, {_META.format('description')}) AS description FROM raw_pages), h AS (SELECT *, lower(coalesce(description, '') || ' ' || coalesce(title, '')) AS txt, list_filter({_HEADS}, lambda x: length(x) > 2 AND strlen(x) - 2 < 200) AS h FROM m) SELECT page_id, title, description, CAST(strlen({_strip}) AS INTEGER) AS stripped_bytes, {_TYPE} AS content_type, CAST(coalesce(len(h), -1) AS INTEGER) AS headings, array_to_string(h, '|') AS outline FROM h",
     "page_links": f"WITH {_LINKS} SELECT page_id, target FROM l",
