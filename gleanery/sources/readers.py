@@ -22,7 +22,7 @@ def read_pages(spark: SparkSession, path: str, recursive: bool = True, modified_
             r = spark.read.schema(schemas.RAW_PAGE).option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).option("mode", "FAILFAST").option("multiLine", True)
         if modified_after:
             r = r.option("modifiedAfter", modified_after)
-        df = r.json(path)
+        df = r.json(path).select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_modification_time").alias("modified_at"))
         return df if "_corrupt_record" in df.columns else df.withColumn("_corrupt_record", F.lit(None).cast("string"))
 
     if path.endswith(".json"):
@@ -31,7 +31,7 @@ def read_pages(spark: SparkSession, path: str, recursive: bool = True, modified_
         df = read("*.jsonl", False)
     else:
         df = read("*.jsonl", False).unionByName(read("*.json", True))
-    return df.select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_modification_time").alias("modified_at"))
+    return df
 
 
 def row_problem(url: Column, content: Column, corrupt: Column) -> Column:

@@ -69,4 +69,4 @@ def message_stream(text: Column, words: int = 3) -> Column:
     """A text as the messages of a word stream, `words` words in each."""
     w = F.filter(F.split(text, r"\s+"), lambda x: x != "")
     starts = F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(words))
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(w, i, words), " ")))
+    return F.when(text.isNull(), None).when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(w, i, words), " ")))
