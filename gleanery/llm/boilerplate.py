@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.pages import SENTENCE_END, Templates, _hash, brand_of, host_main_paths, line_keys, parse, template_keys
+from gleanery.llm.pages import SENTENCE_END, Templates, _hash, brand_of, host_main_paths, host_templates, line_keys, parse, template_keys
 from gleanery.llm.residue import describe, residue_pages
 from gleanery.session import cut, discard, load
 
@@ -147,6 +147,7 @@ def _labeller(templates: Templates, plain: bool):
         longs = pa.list_(pa.int64())
         _ABOUT = pa.struct([("words", pa.int32()), ("text_words", pa.int32()), ("sentences", pa.list_(pa.struct([("template", pa.int64()), ("context", pa.int64()), ("notice", pa.bool_()), ("text", pa.bool_())]))), ("slots", longs), ("empty", pa.int32()), ("dummy", pa.bool_())])
 
+        sites: dict[str, Templates] = {}
         for batch in batches:
             rec, host, main = (batch.column(i).to_pylist() for i in range(3))
             title, paths, lines = batch.column(5).to_pylist(), batch.column(3).to_pylist(), batch.column(4)
@@ -155,28 +156,36 @@ def _labeller(templates: Templates, plain: bool):
             boiler, numbers, body, about = [], [], [], []
             for i, h in enumerate(host):
                 own = flat[ends[i] : ends[i + 1]]
-                ok = label_text(h, title[i], own, templates) if plain else label_page(h, main[i], paths[i], own, templates)
+                known = sites.get(h)
+                if known is None:
+                    if len(sites) >= 4096:
+                        sites.clear()
+                    known = sites[h] = templates.on_host(batch.column(6)[i].as_py() or ())
+                ok = label_text(h, title[i], own, known) if plain else label_page(h, main[i], paths[i], own, known)
                 boiler.append([x[0] for x, y in zip(own, ok) if not y])
                 numbers.append([x[0] for x, y in zip(own, ok) if y])
                 body.append([x[1] for x, y in zip(own, ok) if y])
-                about.append(None if plain else _about(main[i], paths[i], own, ok, templates))
+                about.append(None if plain else _about(main[i], paths[i], own, ok, known))
             ints, texts = pa.list_(pa.int32()), pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(rec, pa.int64()), pa.array(host, pa.string()), pa.array(boiler, ints), pa.array(numbers, ints), pa.array(body, texts), pa.array(about, _ABOUT)], ["rec_id", "host", "boiler", "body_no", "body", "about"])
 
     return run
 
 
-def label(parsed: DataFrame, templates: Templates, titles: DataFrame | None = None) -> DataFrame:
+def label(parsed: DataFrame, templates: Templates, titles: DataFrame | None = None, own: DataFrame | None = None) -> DataFrame:
     """rec_id, host, boiler (numbers of the lines outside the main body), body_no and body (its lines), for each parsed record.
 
-    titles (rec_id, title) marks plain texts; null titles are allowed. No record is dropped.
+    titles (rec_id, title) marks plain texts; null titles are allowed. own (host, key): the hosts' own templates; by default those of
+    parsed. No record is dropped.
     """
-    columns = ["rec_id", "host", "main", "paths", "lines", "title"]
+    columns = ["rec_id", "host", "main", "paths", "lines", "title", "own"]
+    own = (host_templates(parsed) if own is None else own).groupBy("host").agg(F.collect_set("key").alias("own"))
     if titles is None:
         paths = host_main_paths(parsed)
         rows = parsed.join(paths, "host", "left").withColumn("main", F.when(F.array_contains("paths", F.col("host_main")), F.col("host_main")).otherwise(F.col("main"))).withColumn("title", F.lit(None).cast("string"))
     else:
         rows = parsed.join(titles.groupBy("rec_id").agg(F.max("title").alias("title")), "rec_id", "left")
+    rows = rows.join(own, "host", "left")
     return rows.select(*columns).mapInArrow(_labeller(templates, titles is not None), LABELLED)
 
 
@@ -192,9 +201,10 @@ def labelled_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     """Labelled raw_pages and processed_docs, each written once to the shared folder."""
     pages, docs, templates = corpus(spark, sf_dir)
     titles = load(spark, sf_dir, "processed_docs").select(F.col("proc_id").alias("rec_id"), "title")
-    labelled = cut(label(pages, templates).select("rec_id", "boiler", "about"), "labelled-pages")
+    own = cut(host_templates(pages), "host-templates")
+    labelled = cut(label(pages, templates, own=own).select("rec_id", "boiler", "about"), "labelled-pages")
     discard(pages)
-    return labelled, label(docs, templates, titles)
+    return labelled, label(docs, templates, titles, own.unionByName(host_templates(docs)))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

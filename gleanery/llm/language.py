@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm.boilerplate import _CODE, corpus, label
+from gleanery.llm.pages import host_templates
 from gleanery.llm.ppm import ContextTrees
 from gleanery.session import load
 
@@ -117,9 +118,10 @@ def whitelists(config: DataFrame) -> DataFrame:
 
 def identified_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """identify() over the main bodies of processed_docs."""
-    _, docs, templates = corpus(spark, sf_dir)
+    pages, docs, templates = corpus(spark, sf_dir)
     titles = load(spark, sf_dir, "processed_docs").select(F.col("proc_id").alias("rec_id"), "title")
-    bodies = label(docs, templates, titles).join(whitelists(load(spark, sf_dir, "domain_config")), "host", "left")
+    own = host_templates(pages).unionByName(host_templates(docs))
+    bodies = label(docs, templates, titles, own).join(whitelists(load(spark, sf_dir, "domain_config")), "host", "left")
     return identify(bodies, train(load(spark, sf_dir, "lang_samples")))
 
 

@@ -9,6 +9,8 @@ The steps that problems 1, 2, 3 and 5 share:
    Copied pages repeat a line together with its neighbours and so count once; template lines stand between ever new lines.
    Only keys found in a fixed share of the pages are kept, so their number is bounded by lines per page / share,
    whatever the corpus' size: that proven bound is what allows sending them to every task.
+4. `host_templates`: keys counted per host as a share of its distinct pages, for lines that only one site repeats. They are joined by
+   host, and no size of the corpus enters.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from gleanery.functions.sites import site_of
 
 #: A template occurs in at least this many contexts, and in this share of all records.
 MIN_CONTEXTS, MIN_SHARE = 5, 0.0003
+#: A site's own template stands on at least so many distinct pages of the host, and on this share of them.
+HOST_PAGES, HOST_SHARE = 3, 0.5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|head|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w-]*)([^>]*)>|<[!?][^>]*>|([^<]+|<)", re.S | re.I)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -296,8 +300,28 @@ def template_keys(parsed: DataFrame, min_contexts: int = MIN_CONTEXTS, min_share
     return often.join(spread, "key").where(F.col("n") >= least).select("key", kind.alias("kind"), "n")
 
 
+def host_templates(parsed: DataFrame, min_pages: int = HOST_PAGES, share: float = HOST_SHARE) -> DataFrame:
+    """(host, key) of the lines in main containers (or plain texts) that recur on a share of the host's distinct pages.
+
+    Pages with the same two longest lines are copies and count once, so a line that only copies share is on one page. Headings and
+    list items are forms, as in template_keys, and are none. At most 2 x lines per page / share keys a host. A null host has none.
+    """
+    inside = lambda p: (p == F.col("main")) | p.startswith(F.concat(F.col("main"), F.lit(">")))
+    flagged = parsed.where(F.col("host").isNotNull()).withColumn("__in", F.transform("paths", inside))
+    core = flagged.select("host", F.filter("lines", lambda x: F.get(F.col("__in"), x["path"])).alias("core")).where(F.size("core") > 0)
+    longest = F.slice(F.sort_array(F.transform("core", lambda x: F.struct((-F.length(x["text"])).alias("n"), x["a"].alias("a")))), 1, 2)
+    keys = F.flatten(F.transform("core", lambda x: F.transform(F.array(x["a"], x["b"]), lambda k: F.struct(k.alias("key"), (x["kind"] == "H").alias("h"), x["kind"].isin("L", "C").alias("l")))))
+    pages = core.select("host", F.xxhash64(F.transform(longest, lambda x: x["a"])).alias("page"), F.array_distinct(keys).alias("keys"))
+    each = pages.select("host", "page", F.explode("keys").alias("k")).select("host", "page", "k.*").where("key != 0")
+    each = each.groupBy("host", "key", "page").agg(F.max("h").alias("h"), F.max("l").alias("l"))
+    counted = each.groupBy("host", "key").agg(F.count("*").alias("n"), F.count_if("h").alias("H"), F.count_if("l").alias("L")).where(F.col("n") >= min_pages)
+    form = ((F.col("H") * 6 >= F.col("n")) & (F.col("H") > F.col("L"))) | (F.col("L") * 3 >= F.col("n"))
+    all_pages = pages.groupBy("host").agg(F.countDistinct("page").alias("all"))
+    return counted.where(~form).join(all_pages, "host").where(F.col("n") >= share * F.col("all")).select("host", "key")
+
+
 class Templates:
-    """Kinds by key, sorted arrays; small enough to send to tasks (see the bound above)."""
+    """Kinds by key, sorted arrays; small enough to send to tasks (see the bound above). own: keys of one host's templates."""
 
     def __init__(self, rows):
         import numpy as np
@@ -305,7 +329,14 @@ class Templates:
         order = sorted((r.key, ord(r.kind)) for r in rows)
         self.keys = np.array([k for k, _ in order], dtype="int64")
         self.kinds = np.array([v for _, v in order], dtype="uint8")
-        self._dict = None
+        self._dict, self.own = None, frozenset()
+
+    def on_host(self, own) -> Templates:
+        """The same with a host's own templates."""
+        self.get(0)
+        seen = object.__new__(Templates)
+        seen.keys, seen.kinds, seen._dict, seen.own = self.keys, self.kinds, self._dict, frozenset(own)
+        return seen
 
     def get(self, key: int) -> str:
         if self._dict is None:
@@ -314,11 +345,11 @@ class Templates:
 
     def of(self, a: int, b: int, label: int) -> str:
         """The kind of a line by its keys, '' if it is no template."""
-        return self.get(a) or (b and self.get(b)) or (label and self.get(label)) or ""
+        return self.get(a) or (b and self.get(b)) or ("B" if a in self.own or (b and b in self.own) else "") or (label and self.get(label)) or ""
 
     def __getstate__(self):
         return self.keys, self.kinds
 
     def __setstate__(self, state):
         self.keys, self.kinds = state
-        self._dict = None
+        self._dict, self.own = None, frozenset()

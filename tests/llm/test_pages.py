@@ -64,6 +64,21 @@ def test_copied_pages_are_no_templates(spark):
     assert all(body(3)[0] in got[100 + n] for n in range(30))
 
 
+def test_a_site_has_templates_of_its_own(spark):
+    notice = "<p>This site is kept by volunteers of the harbour museum and lives on your gifts.</p>"
+    core = lambda n, *more: [f"<h1>Heading {WORDS[n % 12]} {n}</h1>", *[f"<p>{x}</p>" for x in body(n)], *more]
+    own = [(300 + n, "https://tail.example/", page(n, "tail", core(n, notice))) for n in range(4)]
+    copies = [(400 + n, "https://copy.example/", page(5, "copy", core(5, "<p>Our harbour shop sends all of its ropes and sails by post.</p>"))) for n in range(4)]
+    df = site(spark, own + copies)
+    got = {r.rec_id: list(r.body) for r in labelled(spark, df).collect()}
+    assert all(got[300 + n][1:] == body(n) for n in range(4))
+    assert all(got[400 + n][1:4] == body(5) and len(got[400 + n]) == 5 for n in range(4))  # one page in four copies shows nothing
+    texts = spark.createDataFrame([(n, f"https://{'tail' if n < 4 else 'copy'}.example/", "\n".join([*body(n if n < 4 else 5), notice[3:-4]])) for n in range(8)], "rec_id bigint, url string, text string")
+    parsed = parse(texts, "rec_id", "url", "text", markup=False)
+    got = {r.rec_id: list(r.body) for r in label(parsed, Templates([]), texts.selectExpr("rec_id", "CAST(NULL AS STRING) AS title")).collect()}
+    assert all(got[n] == body(n) for n in range(4)) and all(len(got[n]) == 4 for n in range(4, 8))
+
+
 def test_keys_mask_names_digits_and_the_site():
     a = line_keys("Edited by Anna Smith for Acme, 12 min", "acme")
     assert a[1] == line_keys("Edited by Bert Jones for ACME, 7 min", "acme")[1] or a[0] == line_keys("Edited by Bert Jones for ACME, 7 min", "acme")[0]
