@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm.pages import SENTENCE_END, Templates, _hash, brand_of, host_main_paths, host_templates, line_keys, parse, template_keys
-from gleanery.llm.residue import describe, residue_pages
+from gleanery.llm.residue import describe, residue_pages, surroundings
 from gleanery.session import cut, discard, load
 
-LABELLED = "rec_id bigint, host string, boiler array<int>, body_no array<int>, body array<string>, about struct<words:int,text_words:int,sentences:array<struct<template:bigint,context:bigint,notice:boolean,text:boolean>>,slots:array<bigint>,empty:int,dummy:boolean>"
+LABELLED = "rec_id bigint, host string, boiler array<int>, body_no array<int>, body array<string>, about struct<words:int,text_words:int,sentences:array<struct<template:bigint,context:bigint,notice:boolean,text:boolean>>,slots:array<bigint>,empty:int,dummy:boolean,page:bigint,full:boolean>"
 _WORD = re.compile(r"[^\W\d_]+")
 _CODE = re.compile(r"[;{}]\s*$|^\s*(?:def|class|import|from|return|const|let|var|func|if|for|while|SELECT|INSERT|UPDATE)\b.*[(){}=;<>|$]|^\s*(?:#!|//|>>>)|^\s*\$ |^\s*[\w.-]+:\s*(?:true|false|\d+)?\s*$|=>|\w\(.*\)\s*[;:{]?\s*$|\w+ = \w")
 _BULLET = re.compile(r"^\s*(?:[*•‣◦·+-]|\d{1,2}[.)])\s")
@@ -137,7 +137,9 @@ def _about(main: str, paths: list[str], lines: list, ok: list[bool], templates:
             core.append(x[1])
             if y and x[3] != "H":
                 running.append(x[1])
-    return dict(zip(("words", "text_words", "sentences", "slots", "empty", "dummy"), describe(core, running)))
+    about = dict(zip(("words", "text_words", "sentences", "slots", "empty", "dummy"), describe(core, running)))
+    page, full = surroundings(core, running) if about["slots"] else (0, False)
+    return about | {"page": page, "full": full}
 
 
 def _labeller(templates: Templates, plain: bool):
@@ -145,7 +147,7 @@ def _labeller(templates: Templates, plain: bool):
         import pyarrow as pa
 
         longs = pa.list_(pa.int64())
-        _ABOUT = pa.struct([("words", pa.int32()), ("text_words", pa.int32()), ("sentences", pa.list_(pa.struct([("template", pa.int64()), ("context", pa.int64()), ("notice", pa.bool_()), ("text", pa.bool_())]))), ("slots", longs), ("empty", pa.int32()), ("dummy", pa.bool_())])
+        _ABOUT = pa.struct([("words", pa.int32()), ("text_words", pa.int32()), ("sentences", pa.list_(pa.struct([("template", pa.int64()), ("context", pa.int64()), ("notice", pa.bool_()), ("text", pa.bool_())]))), ("slots", longs), ("empty", pa.int32()), ("dummy", pa.bool_()), ("page", pa.int64()), ("full", pa.bool_())])
 
         sites: dict[str, Templates] = {}
         for batch in batches:

@@ -4,7 +4,7 @@ Method: message templates are mined with a fixed-depth prefix tree: a sentence o
 first tokens (names and digits masked), and its leaf is the template. Each template is classified once, by where it occurs and by
 phrases of notices: a message stands on pages that hold no running text, ordinary sentences and site furniture stand on pages that
 do. The verdict is then propagated to the pages. Unresolved slots ({{name}}, %title%, [INSERT DATE] ...) are found separately inside all records; a
-slot whose surrounding words recur is quoted by a text about templates and is none. The status code plays no part.
+slot whose surrounding words recur in different pages that mostly hold running text besides is quoted by a text about templates and is none. The status code plays no part.
 """
 
 from __future__ import annotations
@@ -65,6 +65,14 @@ def template_of(sentence: str) -> int:
     return _hash("m:" + " ".join(path)) if path else 0
 
 
+def surroundings(core: list[str], running: list[str]) -> tuple[int, bool]:
+    """Of a page with slots: its context, the same for copies and renderings of one template, and whether it holds running text besides the lines with slots."""
+    masked = [re.sub(r"\d+", "0", _SLOT.sub("§", x)).lower() for x in core]
+    longest = sorted(sorted(set(masked)), key=len, reverse=True)[:2]
+    besides = sum(x.count(" ") + 1 for x in running if not _SLOT.search(x))
+    return _hash("p:" + "\n".join(longest)), besides >= BARE_WORDS
+
+
 def describe(core: list[str], running: list[str]) -> tuple[int, int, list[dict], list[int], int, bool]:
     """Of a page's main area: words, words of running text, sentences (template, context, notice phrase, running text), contexts of slots (0 for none), empty values, dummy text."""
     words = sum(x.count(" ") + 1 for x in core)
@@ -106,8 +114,9 @@ def residue_pages(labelled: DataFrame, min_contexts: int = MIN_CONTEXTS, ratio:
     A page is listed once however often it was crawled; if one crawl of a page_id is a case, the page_id is. Empty input, empty result.
     """
     about = labelled.select("rec_id", "about.*").withColumn("bare", F.col("text_words") < BARE_WORDS)
-    slots = about.where(F.size("slots") > 0).select("rec_id", "words", F.explode("slots").alias("slot"))
-    quoted = slots.where("slot != 0").groupBy("slot").agg(F.countDistinct("rec_id").alias("n")).where(F.col("n") >= min_contexts).select("slot", F.lit(True).alias("quoted"))
+    slots = about.where(F.size("slots") > 0).select("rec_id", "words", "page", "full", F.explode("slots").alias("slot"))
+    around = slots.where("slot != 0").groupBy("slot", "page").agg(F.max("full").alias("full"))  # copies once
+    quoted = around.groupBy("slot").agg(F.count("*").alias("n"), F.count_if("full").alias("full")).where("n > 1 and full * 2 > n").select("slot", F.lit(True).alias("quoted"))
     open_slots = slots.join(quoted, "slot", "left").where(F.col("quoted").isNull()).groupBy("rec_id").agg(F.count("*").alias("n"), F.max("words").alias("words"))
     unfilled = open_slots.where((F.col("n") >= 2) | (F.col("words") < 60)).select("rec_id")
     plain = about.where(F.col("dummy") | ((F.col("empty") > 0) & ((F.col("empty") * 4 >= F.col("words")) | (F.col("bare") & (F.col("empty") > 1))))).select("rec_id")

@@ -95,6 +95,14 @@ def test_residue(spark):
     assert residue_pages(labelled(spark, site(spark).limit(0))).count() == 0
 
 
+def test_slots_of_a_recurring_template_are_none_of_a_quotation(spark):
+    unfilled = [(500 + n, f"https://s{n % 2}.example/w", page(n, f"s{n % 2}", ["<h1>Welcome</h1>", "<p>We greet you in {{city}} and wish you a good stay.</p>"])) for n in range(6)]
+    quotes = ["<p>Write {{ title }} in the theme file.</p>", "<p>Then put {{ author }} below the first line.</p>"]
+    texts = [(520 + n, f"https://s{n % 2}.example/q", page(n, f"s{n % 2}", [f"<h1>Themes {n}</h1>", *[f"<p>{x}</p>" for k in (n, n + 5) for x in body(k)], *quotes])) for n in range(3)]
+    got = {r.page_id for r in residue_pages(labelled(spark, site(spark, unfilled + texts))).collect()}
+    assert got == set(range(500, 506))
+
+
 def test_describe():
     words, text_words, sentences, slots, empty, dummy = describe([], [])
     assert (words, text_words, sentences, slots, empty, dummy) == (0, 0, [], [], 0, False)
