@@ -204,7 +204,7 @@ def labelled_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     pages, docs, templates = corpus(spark, sf_dir)
     titles = load(spark, sf_dir, "processed_docs").select(F.col("proc_id").alias("rec_id"), "title")
     own = cut(host_templates(pages), "host-templates")
-    labelled = cut(label(pages, templates, own=own).select("rec_id", "boiler", "about"), "labelled-pages")
+    labelled = cut(label(pages, templates, own=own).select("rec_id", "host", "boiler", "about"), "labelled-pages")
     discard(pages)
     return labelled, label(docs, templates, titles, own.unionByName(host_templates(docs)))
 

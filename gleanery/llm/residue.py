@@ -19,10 +19,8 @@ from gleanery.llm.pages import _hash
 DEPTH = 3
 #: A page with fewer words of running text than this is bare.
 BARE_WORDS = 40
-#: A template without such phrases is a message if it stands in so many contexts on bare pages, and this many times oftener there than on others.
+#: A template without such phrases is a message if it stands in so many contexts on bare pages, and this many times oftener there than on others, and as many times rarer on others than its hosts' pages let expect.
 MIN_CONTEXTS, RATIO = 5, 3.0
-#: Where more pages than this share are bare, being on bare pages says nothing: then only the phrases of notices count.
-MAX_BARE = 0.3
 
 _SLOT = re.compile(
     r"\{\{[^{}\n]{0,60}\}\}|\$\{[^{}\n]{1,60}\}|#\{[^{}\n]{1,60}\}|<%=?[^%\n]{1,60}%>|\{%[^%\n]{1,60}%\}|\[\[[^\[\]\n]{1,60}\]\]|%[A-Za-z_][\w.]*%|(?<!\w)__[A-Za-z]\w*?(?:\.\w+)*__(?!\w)"
@@ -113,24 +111,27 @@ def residue_pages(labelled: DataFrame, min_contexts: int = MIN_CONTEXTS, ratio:
 
     A page is listed once however often it was crawled; if one crawl of a page_id is a case, the page_id is. Empty input, empty result.
     """
-    about = labelled.select("rec_id", "about.*").withColumn("bare", F.col("text_words") < BARE_WORDS)
+    about = labelled.select("rec_id", F.coalesce("host", F.lit("")).alias("host"), "about.*").withColumn("bare", F.col("text_words") < BARE_WORDS)
     slots = about.where(F.size("slots") > 0).select("rec_id", "words", "page", "full", F.explode("slots").alias("slot"))
     around = slots.where("slot != 0").groupBy("slot", "page").agg(F.max("full").alias("full"))  # copies once
     quoted = around.groupBy("slot").agg(F.count("*").alias("n"), F.count_if("full").alias("full")).where("n > 1 and full * 2 > n").select("slot", F.lit(True).alias("quoted"))
     open_slots = slots.join(quoted, "slot", "left").where(F.col("quoted").isNull()).groupBy("rec_id").agg(F.count("*").alias("n"), F.max("words").alias("words"))
     unfilled = open_slots.where((F.col("n") >= 2) | (F.col("words") < 60)).select("rec_id")
     plain = about.where(F.col("dummy") | ((F.col("empty") > 0) & ((F.col("empty") * 4 >= F.col("words")) | (F.col("bare") & (F.col("empty") > 1))))).select("rec_id")
-    sentences = about.select("rec_id", "bare", F.explode("sentences").alias("s")).select("rec_id", "bare", "s.*")
+    sentences = about.select("rec_id", "host", "bare", F.explode("sentences").alias("s")).select("rec_id", "host", "bare", "s.*")
     spread = sentences.where("bare").select("template", "context").distinct().groupBy("template").agg(F.count("*").alias("contexts"))
-    where = sentences.groupBy("template").agg(F.sum(F.col("bare").cast("int")).alias("on_bare"), F.sum((~F.col("bare")).cast("int")).alias("on_full"), F.max(F.col("notice").cast("int")).alias("notice"))
+    # How many full pages a template would stand on if it kept to the rate of its own hosts: where all pages are bare, being on bare pages says nothing.
+    hosts = about.groupBy("host").agg((F.count_if(~F.col("bare")) / F.count("*")).alias("full_share"))
+    each = sentences.groupBy("template", "host").agg(F.count_if("bare").alias("on_bare"), F.count_if(~F.col("bare")).alias("on_full"), F.max(F.col("notice").cast("int")).alias("notice")).join(hosts, "host")
+    expected = F.sum((F.col("on_bare") + F.col("on_full")) * F.col("full_share")).alias("expected")
+    where = each.groupBy("template").agg(F.sum("on_bare").alias("on_bare"), F.sum("on_full").alias("on_full"), F.max("notice").alias("notice"), expected)
     verdict = (
         F.when((F.col("notice") == 1) & (F.col("on_bare") >= F.col("on_full")), "message")
-        .when(F.col("few_bare") & (F.col("contexts") >= min_contexts) & (F.col("on_bare") >= ratio * F.col("on_full")), "message")
+        .when((F.col("contexts") >= min_contexts) & (F.col("on_bare") >= ratio * F.col("on_full")) & (F.col("expected") >= ratio * F.greatest("on_full", F.lit(1))), "message")
         .when(F.col("on_full") > ratio * F.col("on_bare"), "other")
         .otherwise("unknown")
     )
-    few = about.agg((F.count_if("bare") <= MAX_BARE * F.count("*")).alias("few_bare"))  # one row
-    judged = where.where("on_bare > 0").join(spread, "template").crossJoin(F.broadcast(few)).select("template", verdict.alias("verdict"))
+    judged = where.where("on_bare > 0").join(spread, "template").select("template", verdict.alias("verdict"))
     votes = sentences.where("bare").join(judged, "template").groupBy("rec_id").agg(F.sum((F.col("verdict") == "message").cast("int")).alias("messages"), F.sum(((F.col("verdict") != "message") & F.col("text")).cast("int")).alias("others"))
     shown = votes.where((F.col("messages") > 0) & (F.col("messages") >= F.col("others"))).select("rec_id")
     return unfilled.unionByName(plain).unionByName(shown).select(F.col("rec_id").alias("page_id")).distinct()
@@ -142,7 +143,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.session import cut, discard
 
     pages, _, templates = corpus(spark, sf_dir, texts=False)
-    labelled = cut(label(pages, templates).select("rec_id", "about"), "labelled-pages")
+    labelled = cut(label(pages, templates).select("rec_id", "host", "about"), "labelled-pages")
     discard(pages)
     return residue_pages(labelled)
 

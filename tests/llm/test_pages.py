@@ -103,6 +103,13 @@ def test_slots_of_a_recurring_template_are_none_of_a_quotation(spark):
     assert got == set(range(500, 506))
 
 
+def test_a_site_of_short_pages_hides_no_message_of_others(spark):
+    lost = [(600 + n, f"https://s{n % 2}.example/l", page(n, f"s{n % 2}", [f"<h1>{WORDS[n].title()}</h1>", "<p>An otter ate this leaf of our book.</p>"])) for n in range(6)]
+    short = [(700 + n, "https://short.example/", page(n, "short", [f"<h1>{WORDS[n % 12].title()} bread</h1>", f"<p>Bake {n} loaves for the {WORDS[n % 7]} in an hour.</p>"])) for n in range(40)]
+    got = {r.page_id for r in residue_pages(labelled(spark, site(spark, lost + short))).collect()}
+    assert got == set(range(600, 606))
+
+
 def test_describe():
     words, text_words, sentences, slots, empty, dummy = describe([], [])
     assert (words, text_words, sentences, slots, empty, dummy) == (0, 0, [], [], 0, False)
