@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import quality as Q
 from gleanery.functions.sites import site_of
 from gleanery.functions.text import signature
+from gleanery.operators.ranking import distributed_row_number
 from gleanery.operators.similarity import similar_sets
 from gleanery.session import load
 
@@ -78,12 +79,23 @@ def near_duplicate_titles(spark, d):
 def rerank(spark, d):
     """The first 50 documents by id reranked: 0.4 quality, 0.5 relevance, 0.1 position."""
     top = _results(spark, d).orderBy("document_id").limit(50).withColumn("position", F.row_number().over(Window.orderBy("document_id")) - 1)
-    s = F.round(Q.result_quality(F.col("description"), F.col("title"), F.col("site")), 3) * 0.4 + Q.relevance(QUERY, F.col("description"), F.col("title")) * 0.5 + F.greatest(F.lit(0.0), 1 - F.col("position") * 0.1) * 0.1
-    scored = top.withColumn("score", F.round(s, 6))
+    scored = top.withColumn("score", _rerank_score())
     return scored.select("document_id", "position", "score", (F.row_number().over(Window.orderBy(F.desc("score"), "position")) - 1).alias("new_position"))
 
 
-QUERIES = {f.__name__: f for f in (search_insights, top_domains, diversity, content_types, freshness, topic_clusters, authority_signals, exact_duplicates, near_duplicate_titles, rerank)}
+def rerank_all(spark, d):
+    """All documents, in the order of their ids, reranked as in rerank."""
+    placed = distributed_row_number(_results(spark, d), [], [F.col("document_id")], "position").withColumn("position", F.col("position") - 1)
+    scored = placed.select("document_id", "position", _rerank_score().alias("score"))
+    return distributed_row_number(scored, [], [F.desc("score"), F.col("position")], "new_position").withColumn("new_position", F.col("new_position") - 1)
+
+
+def _rerank_score():
+    s = F.round(Q.result_quality(F.col("description"), F.col("title"), F.col("site")), 3) * 0.4 + Q.relevance(QUERY, F.col("description"), F.col("title")) * 0.5 + F.greatest(F.lit(0.0), 1 - F.col("position") * 0.1) * 0.1
+    return F.round(s, 6)
+
+
+QUERIES = {f.__name__: f for f in (search_insights, top_domains, diversity, content_types, freshness, topic_clusters, authority_signals, exact_duplicates, near_duplicate_titles, rerank, rerank_all)}
 
 _R = r"r AS (SELECT *, regexp_replace(lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#\s]+)', 1)), '^www\.', '') AS site, lower(coalesce(title, '') || ' ' || coalesce(description, '')) AS both_ FROM (SELECT *, row_number() OVER (PARTITION BY document_id) AS rn FROM site_docs) WHERE rn = 1)"
 
