@@ -11,7 +11,7 @@ _NOISE = " vte diffhist mail me at a.b@c.example or https://x.example/y?z=1 &amp
 
 
 def clean_texts(spark, d):
-    t = F.concat(F.substring("text", 1, 1000000), F.lit(_NOISE.replace("\\\\", "\\")))
+    t = F.concat(F.col("text"), F.lit(_NOISE.replace("\\\\", "\\")))
     return load(spark, d, "documents").select("doc_id", T.clean_text(t).alias("cleaned"))
 
 
