@@ -1,7 +1,8 @@
 """Problem 2: page boilerplate mixed with the main content.
 
-Method: site template removal. The element subtrees of a page are taken by container path and line; their hashes are counted per
-host and over the corpus in Spark (pages.py), subtrees that recur across pages are deleted, and what remains is the main body.
+Method: site template removal. The element subtrees of a page are hashed (pages.py), counted per host in Spark, and deleted where they
+recur on many distinct pages of that host; a subtree of one line is also known from the other hosts that repeat it. What lies in the
+container that holds the main text on most pages of the host and is no such subtree is the main body.
 Plain texts have no elements; their lines are judged by the templates that the counts gave, and by their order.
 """
 
@@ -13,11 +14,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.pages import SENTENCE_END, Templates, _hash, brand_of, host_main_paths, host_templates, line_keys, parse, template_keys
-from gleanery.llm.residue import describe, residue_pages, surroundings
+from gleanery.llm.pages import BROADCAST_ROWS, SENTENCE_END, Templates, brand_of, host_counts, host_main_paths, inside_paths, known_by_record, line_keys, parse, template_keys, template_table
+from gleanery.llm.residue import BARE_WORDS, describe, residue_pages, surroundings
 from gleanery.session import cut, discard, load
 
-LABELLED = "rec_id bigint, host string, boiler array<int>, body_no array<int>, body array<string>, about struct<words:int,text_words:int,sentences:array<struct<template:bigint,context:bigint,notice:boolean,text:boolean>>,slots:array<bigint>,empty:int,dummy:boolean,page:bigint,full:boolean>"
+LABELLED = (
+    "rec_id bigint, host string, boiler array<int>, body_no array<int>, body array<string>, about struct<words:int,text_words:int,"
+    "sentences:array<struct<template:bigint,parent:bigint,context:bigint,notice:boolean,text:boolean>>,nodes:array<bigint>,slots:array<bigint>,empty:int,dummy:boolean,page:bigint,full:boolean>"
+)
 _WORD = re.compile(r"[^\W\d_]+")
 _CODE = re.compile(r"[;{}]\s*$|^\s*(?:def|class|import|from|return|const|let|var|func|if|for|while|SELECT|INSERT|UPDATE)\b.*[(){}=;<>|$]|^\s*(?:#!|//|>>>)|^\s*\$ |^\s*[\w.-]+:\s*(?:true|false|\d+)?\s*$|=>|\w\(.*\)\s*[;:{]?\s*$|\w+ = \w")
 _BULLET = re.compile(r"^\s*(?:[*•‣◦·+-]|\d{1,2}[.)])\s")
@@ -44,54 +48,56 @@ def _teaser(text: str, brand: str, templates: Templates) -> bool:
     return False
 
 
-def _menu(text: str, brand: str, templates: Templates) -> bool:
-    """Several short parts of which most are menu entries."""
+def _menu_parts(text: str) -> list[str]:
+    """The parts of a short line that has separators."""
     if len(text) > 200 or not _PART.search(text):
-        return False
+        return []
     parts = [p for p in _PARTS.split(text) if p]
-    if len(parts) < 2:
-        return False
-    known = sum(templates.of(*line_keys(p, brand)) in ("N", "B") for p in parts)
-    return known * 3 >= len(parts) * 2
-
-
-def label_page(host: str, main: str, paths: list[str], lines: list, templates: Templates) -> list[bool]:
-    """For each line of a page whether it belongs to the main body."""
-    brand = brand_of(host)
-    inside = [p == main or p.startswith(main + ">") for p in paths]
-    if main == "#":
-        return label_text(host, None, lines, templates)
+    return parts if len(parts) > 1 else []
+
+
+def _menu(text: str, brand: str, templates: Templates) -> bool:
+    """Several short parts of which most are menu entries."""
+    parts = _menu_parts(text)
+    return bool(parts) and sum(templates.of(*line_keys(p, brand)) in ("N", "B") for p in parts) * 3 >= len(parts) * 2
+
+
+def part_keys(text: str, brand: str) -> list[int]:
+    """The keys within a line that _menu and _teaser look up."""
+    heads = [text[: m.start()] for m in re.finditer(r":\s", text)]
+    return [k for p in _menu_parts(text) + heads for k in line_keys(p, brand)]
+
+
+def label_page(brand: str, inside: list[bool], kinds: list[str], elements: list[str], link: list[float], texts: list[str], templates: Templates) -> list[bool]:
+    """For each line of a page whether it belongs to the main body. kinds: B for lines of subtrees that recur on the host, too."""
     out = []
-    for line in lines:
-        kind = templates.of(line[4], line[5], line[6])
-        text = line[1]
-        if not inside[line[2]] or kind in ("B", "N"):
-            ok = False
-        elif line[3] in "HLC" or kind in ("H", "L"):
-            ok = not (line[7] > 0.8 and line[3] != "L" and kind == "H")
+    for i, within in enumerate(inside):
+        kind = kinds[i]
+        if not within or kind in ("B", "N"):
+            out.append(False)
+        elif elements[i] in "HLC" or kind in ("H", "L"):
+            out.append(not (link[i] > 0.8 and elements[i] != "L" and kind == "H"))
         else:
-            ok = not _menu(text, brand, templates)
-        out.append(ok)
+            out.append(not _menu(texts[i], brand, templates))
     # Blocks of links to other pages at the end of the main container: headings that no text follows.
     last = None
-    for i in range(len(lines) - 1, -1, -1):
-        if out[i] and (lines[i][3] in "LC" or _paragraph(lines[i][1])) and not _teaser(lines[i][1], brand, templates):
+    for i in range(len(out) - 1, -1, -1):
+        if out[i] and (elements[i] in "LC" or _paragraph(texts[i])) and not _teaser(texts[i], brand, templates):
             last = i
             break
     if last is not None:
-        for i in range(last + 1, len(lines)):
-            if out[i] and (lines[i][7] > 0.5 or _teaser(lines[i][1], brand, templates)):
+        for i in range(last + 1, len(out)):
+            if out[i] and (link[i] > 0.5 or _teaser(texts[i], brand, templates)):
                 out[i] = False
     return out
 
 
-def label_text(host: str, title: str | None, lines: list, templates: Templates) -> list[bool]:
-    """For each line of a plain text whether it belongs to the main body."""
-    brand, n = brand_of(host), len(lines)
+def label_text(brand: str, title: str | None, found: list[str], texts: list[str], templates: Templates) -> list[bool]:
+    """For each line of a plain text whether it belongs to the main body. found: the kinds of its lines."""
+    n = len(texts)
     fold = lambda s: re.sub(r"\W+", " ", s).strip().lower()
     kinds, solid = [], []
-    for x in lines:
-        kind, text = templates.of(x[4], x[5], x[6]), x[1]
+    for kind, text in zip(found, texts):
         if kind in ("", "L") and _teaser(text, brand, templates) and _sentences(text) <= 2:
             kind = "T"
         elif kind == "" and _menu(text, brand, templates):
@@ -102,7 +108,7 @@ def label_text(host: str, title: str | None, lines: list, templates: Templates)
         solid.append(kind == "L" or (kind == "" and (_paragraph(text) or bool(_CODE.search(text)) or bool(_BULLET.match(text)) or _sentences(text) > 0)))
     start, wanted = 0, fold(title or "")
     if wanted:
-        start = next((i for i in range(n) if fold(lines[i][1]) == wanted), 0)
+        start = next((i for i in range(n) if fold(texts[i]) == wanted), 0)
     elif any(solid):
         first = solid.index(True)
         start = next((i for i in range(first) if kinds[i] == "H"), first)
@@ -118,7 +124,7 @@ def label_text(host: str, title: str | None, lines: list, templates: Templates)
         elif kind == "H":
             ok = i <= last and not (teasers and not solid[min(i + 1, n - 1)]) or i == start
         elif solid[i]:
-            teasers = teasers and _sentences(lines[i][1]) < 2
+            teasers = teasers and _sentences(texts[i]) < 2
         elif i > last and i != start:
             ok = False
         out.append(ok)
@@ -128,93 +134,127 @@ def label_text(host: str, title: str | None, lines: list, templates: Templates)
 _NAMED = re.compile(r"@|©")
 
 
-def _about(main: str, paths: list[str], lines: list, ok: list[bool], templates: Templates) -> dict:
+def _about(inside: list[bool], kinds: list[str], elements: list[str], link: list[float], texts: list[str], ok: list[bool]) -> dict:
     """What residue.py needs to know of a page's main area: that is all of the main container but menus and link lists."""
-    inside = [p == main or p.startswith(main + ">") for p in paths]
     core, running = [], []
-    for x, y in zip(lines, ok):
-        if inside[x[2]] and x[7] < 0.8 and (y or templates.of(x[4], x[5], x[6]) in ("B", "N")):
-            core.append(x[1])
-            if y and x[3] != "H":
-                running.append(x[1])
+    for i, y in enumerate(ok):
+        if inside[i] and link[i] < 0.8 and (y or kinds[i] in ("B", "H") or (kinds[i] == "N" and SENTENCE_END.search(texts[i]))):
+            core.append(texts[i])
+            if y and elements[i] != "H":
+                running.append(texts[i])
     about = dict(zip(("words", "text_words", "sentences", "slots", "empty", "dummy"), describe(core, running)))
+    bare = about["text_words"] < BARE_WORDS
     page, full = surroundings(core, running) if about["slots"] else (0, False)
-    return about | {"page": page, "full": full}
+    return about | {"sentences": about["sentences"] if bare else [], "nodes": [] if bare else about["sentences"], "page": page, "full": full}
 
 
-def _labeller(templates: Templates, plain: bool):
+def _labeller(sent: Templates | None, plain: bool, describing: bool):
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        longs = pa.list_(pa.int64())
-        _ABOUT = pa.struct([("words", pa.int32()), ("text_words", pa.int32()), ("sentences", pa.list_(pa.struct([("template", pa.int64()), ("context", pa.int64()), ("notice", pa.bool_()), ("text", pa.bool_())]))), ("slots", longs), ("empty", pa.int32()), ("dummy", pa.bool_()), ("page", pa.int64()), ("full", pa.bool_())])
-
-        sites: dict[str, Templates] = {}
-        for batch in batches:
-            rec, host, main = (batch.column(i).to_pylist() for i in range(3))
-            title, paths, lines = batch.column(5).to_pylist(), batch.column(3).to_pylist(), batch.column(4)
-            ends, items = lines.offsets.to_pylist(), lines.values
-            flat = list(zip(*(items.field(x).to_pylist() for x in ("no", "text", "path", "kind", "a", "b", "l", "link"))))
-            boiler, numbers, body, about = [], [], [], []
-            for i, h in enumerate(host):
-                own = flat[ends[i] : ends[i + 1]]
-                known = sites.get(h)
-                if known is None:
-                    if len(sites) >= 4096:
-                        sites.clear()
-                    known = sites[h] = templates.on_host(batch.column(6)[i].as_py() or ())
-                ok = label_text(h, title[i], own, known) if plain else label_page(h, main[i], paths[i], own, known)
-                boiler.append([x[0] for x, y in zip(own, ok) if not y])
-                numbers.append([x[0] for x, y in zip(own, ok) if y])
-                body.append([x[1] for x, y in zip(own, ok) if y])
-                about.append(None if plain else _about(main[i], paths[i], own, ok, known))
-            ints, texts = pa.list_(pa.int32()), pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(rec, pa.int64()), pa.array(host, pa.string()), pa.array(boiler, ints), pa.array(numbers, ints), pa.array(body, texts), pa.array(about, _ABOUT)], ["rec_id", "host", "boiler", "body_no", "body", "about"])
+        longs, ints, strings = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string())
+        sentence = pa.struct([("template", pa.int64()), ("parent", pa.int64()), ("context", pa.int64()), ("notice", pa.bool_()), ("text", pa.bool_())])
+        kind_of_about = pa.struct([("words", pa.int32()), ("text_words", pa.int32()), ("sentences", pa.list_(sentence)), ("nodes", longs), ("slots", longs), ("empty", pa.int32()), ("dummy", pa.bool_()), ("page", pa.int64()), ("full", pa.bool_())])
+        names = {i: chr(i) if i else "" for i in range(256)}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+                known = sent if sent is not None else Templates(x for r in col["known"].to_pylist() for x in r or ())
+                rec, host, title = (col[n].to_pylist() for n in ("rec_id", "host", "title"))
+                flat, sizes = col["lines"].flatten(), np.diff(col["lines"].offsets.to_numpy()[: batch.num_rows + 1])
+                h = np.repeat(col["h"].to_numpy(), sizes)
+                kinds = [names[k] for k in known.lines(*(flat.field(x).to_numpy() for x in "abl"), h).tolist()]
+                no, texts = flat.field("no").to_pylist(), flat.field("text").to_pylist()
+                ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+                if not plain:
+                    elements, link, inside, path = (flat.field(x).to_pylist() for x in ("kind", "link", "inside", "path"))
+                    main, other, paths = (col[n].to_pylist() for n in ("main", "host_main", "paths"))
+                    spans, many = col["blocks"].flatten(), np.diff(col["blocks"].offsets.to_numpy()[: batch.num_rows + 1])
+                    recurs = (known.many(spans.field("key").to_numpy() ^ np.repeat(col["h"].to_numpy(), many)) == ord("S")).tolist()
+                    first, end = spans.field("start").to_pylist(), spans.field("end").to_pylist()
+                    upto = np.concatenate([[0], np.cumsum(many)]).tolist()
+                boiler, numbers, body, about = [], [], [], []
+                for i in range(len(rec)):
+                    x, y = ends[i], ends[i + 1]
+                    brand, mine, own = brand_of(host[i]), kinds[x:y], texts[x:y]
+                    if plain:
+                        ok = label_text(brand, title[i], mine, own, known)
+                    else:
+                        within, at_main = inside[x:y], main[i]
+                        if other[i] and other[i] != at_main and other[i] in paths[i]:
+                            at_main = other[i]
+                            in_path = inside_paths(paths[i], at_main)
+                            within = [in_path[p] for p in path[x:y]]
+                        if at_main == "#":
+                            ok = label_text(brand, None, mine, own, known)
+                        else:
+                            for j in range(upto[i], upto[i + 1]):
+                                if recurs[j]:
+                                    mine[first[j] : end[j]] = [k if k in ("B", "N") else "B" for k in mine[first[j] : end[j]]]
+                            ok = label_page(brand, within, mine, elements[x:y], link[x:y], own, known)
+                        if describing:
+                            about.append(_about(within, mine, elements[x:y], link[x:y], own, ok))
+                    lines = no[x:y]
+                    boiler.append([n for n, good in zip(lines, ok) if not good])
+                    numbers.append([n for n, good in zip(lines, ok) if good])
+                    body.append([t for t, good in zip(own, ok) if good])
+                abouts = pa.array(about, kind_of_about) if about else pa.nulls(len(rec), kind_of_about)
+                yield pa.RecordBatch.from_arrays([pa.array(rec, pa.int64()), pa.array(host, pa.string()), pa.array(boiler, ints), pa.array(numbers, ints), pa.array(body, strings), abouts], ["rec_id", "host", "boiler", "body_no", "body", "about"])
 
     return run
 
 
-def label(parsed: DataFrame, templates: Templates, titles: DataFrame | None = None, own: DataFrame | None = None) -> DataFrame:
+def label(parsed: DataFrame, templates: Templates | DataFrame, titles: DataFrame | None = None, own: DataFrame | None = None, broadcast_rows: int = BROADCAST_ROWS, describing: bool = True) -> DataFrame:
     """rec_id, host, boiler (numbers of the lines outside the main body), body_no and body (its lines), for each parsed record.
 
-    titles (rec_id, title) marks plain texts; null titles are allowed. own (host, key): the hosts' own templates; by default those of
-    parsed. No record is dropped.
+    templates: a template_table, which is broadcast up to broadcast_rows rows and joined beyond. Collected Templates are taken as they are,
+    together with own (key, h, kind), by default the hosts' own templates of parsed. titles (rec_id, title) marks plain texts; null titles
+    are allowed. describing: fill about, which residue.py needs. No record is dropped.
     """
-    columns = ["rec_id", "host", "main", "paths", "lines", "title", "own"]
-    own = (host_templates(parsed) if own is None else own).groupBy("host").agg(F.collect_set("key").alias("own"))
+    if isinstance(templates, Templates):
+        own = template_keys(parsed).where("h is not null") if own is None else own
+        shared = [{"key": k, "h": None, "kind": chr(v)} for k, v in zip(templates.keys.tolist(), templates.kinds.tolist())]
+        templates = own.select("key", "h", "kind")
+        if shared:
+            templates = templates.unionByName(parsed.sparkSession.createDataFrame([(r["key"], None, r["kind"]) for r in shared], "key bigint, h bigint, kind string"))
+    templates = cut(templates, "templates")
+    rows = parsed
     if titles is None:
-        paths = host_main_paths(parsed)
-        rows = parsed.join(paths, "host", "left").withColumn("main", F.when(F.array_contains("paths", F.col("host_main")), F.col("host_main")).otherwise(F.col("main"))).withColumn("title", F.lit(None).cast("string"))
+        rows = rows.join(cut(host_main_paths(parsed), "host-paths"), "h", "left").withColumn("title", F.lit(None).cast("string"))
     else:
-        rows = parsed.join(titles.groupBy("rec_id").agg(F.max("title").alias("title")), "rec_id", "left")
-    rows = rows.join(own, "host", "left")
-    return rows.select(*columns).mapInArrow(_labeller(templates, titles is not None), LABELLED)
+        rows = rows.join(titles.groupBy("rec_id").agg(F.max("title").alias("title")), "rec_id", "left").withColumn("host_main", F.lit(None).cast("string"))
+    sent, columns = None, ["rec_id", "host", "h", "main", "host_main", "title", "paths", "lines", "blocks"]
+    if templates.count() <= broadcast_rows:
+        sent = Templates(templates.collect())
+    else:
+        rows, columns = rows.join(known_by_record(parsed, templates, part_keys), "rec_id", "left"), [*columns, "known"]
+    return rows.select(*columns).mapInArrow(_labeller(sent, titles is not None, describing), LABELLED)
 
 
-def corpus(spark: SparkSession, sf_dir: str, texts: bool = True):
-    """Parsed raw_pages, parsed processed_docs and the templates of both."""
+def corpus(spark: SparkSession, sf_dir: str, texts: bool = True) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Parsed raw_pages, parsed processed_docs, and the template table of the pages."""
     pages = cut(parse(load(spark, sf_dir, "raw_pages"), "page_id", "url", "content"), "pages")
     docs = cut(parse(load(spark, sf_dir, "processed_docs"), "proc_id", "url", "main_content", markup=False), "texts") if texts else None
-    both = pages if docs is None else pages.unionByName(docs)
-    return pages, docs, Templates(template_keys(both).collect())
+    return pages, docs, cut(template_keys(pages), "page-templates")
 
 
-def labelled_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Labelled raw_pages and processed_docs, each written once to the shared folder."""
-    pages, docs, templates = corpus(spark, sf_dir)
+def labelled_texts(spark: SparkSession, sf_dir: str, docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Labelled processed_docs: by the templates of the pages, and by those of the texts where the pages know none."""
+    own = template_keys(docs).join(found, ["key"], "left_anti")
     titles = load(spark, sf_dir, "processed_docs").select(F.col("proc_id").alias("rec_id"), "title")
-    own = cut(host_templates(pages), "host-templates")
-    labelled = cut(label(pages, templates, own=own).select("rec_id", "host", "boiler", "about"), "labelled-pages")
-    discard(pages)
-    return labelled, label(docs, templates, titles, own.unionByName(host_templates(docs)))
+    return label(docs, found.unionByName(own), titles)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines outside the main body, of raw_pages (but for those that p3_found lists) and of processed_docs."""
-    pages, docs = labelled_corpus(spark, sf_dir)
-    bad = residue_pages(pages)
-    raw = pages.join(bad, pages.rec_id == bad.page_id, "left_anti").select(F.lit("raw_pages").alias("src"), "rec_id", F.explode(F.col("boiler").cast("array<bigint>")).alias("line_no"))
-    text = docs.select(F.lit("processed_docs").alias("src"), "rec_id", F.explode(F.col("boiler").cast("array<bigint>")).alias("line_no"))
+    pages, docs, found = corpus(spark, sf_dir)
+    labelled = cut(label(pages, found).select("rec_id", "host", "boiler", "about"), "labelled-pages")
+    discard(pages)
+    bad = residue_pages(labelled)
+    raw = labelled.join(bad, labelled.rec_id == bad.page_id, "left_anti").select(F.lit("raw_pages").alias("src"), "rec_id", F.explode(F.col("boiler").cast("array<bigint>")).alias("line_no"))
+    text = labelled_texts(spark, sf_dir, docs, found).select(F.lit("processed_docs").alias("src"), "rec_id", F.explode(F.col("boiler").cast("array<bigint>")).alias("line_no"))
     return raw.unionByName(text)
 
 

@@ -13,10 +13,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.boilerplate import _CODE, corpus, label
-from gleanery.llm.pages import host_templates
+from gleanery.llm.boilerplate import _CODE, corpus, labelled_texts
 from gleanery.llm.ppm import ContextTrees
-from gleanery.session import load
+from gleanery.session import discard, load
 
 # Codes and names of the languages of the reference texts.
 LANGUAGE_NAMES = {
@@ -118,10 +117,9 @@ def whitelists(config: DataFrame) -> DataFrame:
 
 def identified_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """identify() over the main bodies of processed_docs."""
-    pages, docs, templates = corpus(spark, sf_dir)
-    titles = load(spark, sf_dir, "processed_docs").select(F.col("proc_id").alias("rec_id"), "title")
-    own = host_templates(pages).unionByName(host_templates(docs))
-    bodies = label(docs, templates, titles, own).join(whitelists(load(spark, sf_dir, "domain_config")), "host", "left")
+    pages, docs, found = corpus(spark, sf_dir)
+    discard(pages)
+    bodies = labelled_texts(spark, sf_dir, docs, found).join(whitelists(load(spark, sf_dir, "domain_config")), "host", "left")
     return identify(bodies, train(load(spark, sf_dir, "lang_samples")))
 
 

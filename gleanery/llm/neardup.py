@@ -167,8 +167,8 @@ def class_pairs(signed: DataFrame, texts: DataFrame, similarity: float = SIMILAR
 
 def page_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """class_pairs over the main bodies of raw_pages without the pages that p3_found lists. Of several crawls of a page_id the one with the longest body counts."""
-    pages, _, templates = corpus(spark, sf_dir, texts=False)
-    labelled = cut(label(pages, templates).select("rec_id", "host", "about", F.array_join("body", "\n").alias("body")), "labelled-pages")
+    pages, _, found = corpus(spark, sf_dir, texts=False)
+    labelled = cut(label(pages, found).select("rec_id", "host", "about", F.array_join("body", "\n").alias("body")), "labelled-pages")
     discard(pages)
     bad = residue_pages(labelled)
     good = labelled.join(bad, labelled.rec_id == bad.page_id, "left_anti").groupBy("rec_id").agg(F.max(F.struct(F.length("body"), F.col("body").alias("text"))).alias("b")).select("rec_id", "b.text")

@@ -1,16 +1,16 @@
-"""Pages and extracted texts as lines with their place in the element tree, and the template lines of a corpus.
+"""Pages and extracted texts as lines with their place in the element tree, and the templates of sites.
 
 The steps that problems 1, 2, 3 and 5 share:
 
-1. `parse` (one Python pass): every page becomes its visible lines; each line has the path of its container, the kind of
-   element it stands in and hashed keys (text with digits, site name and proper names masked).
+1. `parse` (one Python pass): every page becomes its visible lines; each line has the path of its container, the kind of element it
+   stands in and hashed keys (text with digits, site name and proper names masked). Every element that holds several lines is a
+   subtree with a hash of its lines' keys; a line is the smallest subtree.
 2. `host_main_paths`: containers counted per host; the container that holds the main text on most pages of a host.
-3. `template_keys`: keys counted over the whole corpus by the number of distinct contexts (neighbouring lines) they occur in.
-   Copied pages repeat a line together with its neighbours and so count once; template lines stand between ever new lines.
-   Only keys found in a fixed share of the pages are kept, so their number is bounded by lines per page / share,
-   whatever the corpus' size: that proven bound is what allows sending them to every task.
-4. `host_templates`: keys counted per host as a share of its distinct pages, for lines that only one site repeats. They are joined by
-   host, and no size of the corpus enters.
+3. `host_counts`: subtree hashes counted per host over its distinct pages. Of pages that are copies of each other one counts.
+4. `template_table`: the subtrees that recur on a host's pages, and the lines that recur on the hosts that have them, pooled over those hosts:
+   a small host's lines are known from other hosts that use the same. Neither depends on how many other hosts the corpus has.
+5. `Templates` / `known_by_record`: how the verdicts reach the lines: by broadcast as long as their number, which is checked, allows it,
+   else by joins of (record, hash) with the verdicts.
 """
 
 from __future__ import annotations
@@ -21,15 +21,22 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.sites import site_of
-
-#: A template occurs in at least this many contexts, and in this share of all records.
-MIN_CONTEXTS, MIN_SHARE = 5, 0.0003
-#: A site's own template stands on at least so many distinct pages of the host, and on this share of them.
-HOST_PAGES, HOST_SHARE = 3, 0.5
+from gleanery.session import cut
+
+#: A line is a template if it stands on so many distinct pages, and if its repeats on the hosts that have it are this share of their pages.
+MIN_PAGES, MIN_RATE = 5, 0.001
+#: Forms of headings and list items, and lines that stand outside main containers, are known from so many distinct pages by their places.
+FORM_PAGES = 5
+#: A site's own line template stands on at least so many distinct pages of the host, and on this share of them; its own subtrees of several lines likewise.
+HOST_PAGES, HOST_SHARE, BLOCK_SHARE = 3, 0.5, 0.05
+#: Lines of so many characters tell copies of a page, as short ones may be templates.
+SIGNED_LENGTH = 60
+#: Up to so many verdicts (17 bytes each) are sent to all tasks; beyond, they are joined.
+BROADCAST_ROWS = 500_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|head|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w-]*)([^>]*)>|<[!?][^>]*>|([^<]+|<)", re.S | re.I)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -41,7 +48,7 @@ SENTENCE_END = re.compile(r"[.!?…。](?=[\"'»”)\]]*(?:\s|$))")
 WORD = re.compile(r"\w+")
 _DIGITS = re.compile(r"\d+")
 _UPPER = r"A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĪİŁŃŇŌŐŒŘŚŞŠŤŪŮŰŹŻŽΑ-ΩЀ-Я"
-_NAME = re.compile(rf"(?<![\w'’])[{_UPPER}][\w'’\-]*")
+_NAME = re.compile(rf"[{_UPPER}](?<![\w'’].)[\w'’\-]*")  # a capital first, then the look behind: so the scan skips to capitals
 _LABEL = re.compile(r"^([^:|–—]{2,40}?)\s*(?:[:|–—])\s")
 _FIRST = re.compile(r"[\w'’\-]+")
 _MARK = re.compile(r"[^C0@\W]|[0@|:·•,.()–—\-/#&+↑↓°%<>›»]")
@@ -56,6 +63,10 @@ def line_keys(text: str, brand: str) -> tuple[int, int, int]:
 
     brand: the site's own name in lower case, masked wherever it stands.
     """
+    return _short_line_keys(text, brand) if len(text) <= 120 else _line_keys(text, brand)
+
+
+def _line_keys(text: str, brand: str) -> tuple[int, int, int]:
     if brand and brand in text.lower():
         text = _brand_pattern(brand).sub("@", text)
     low = _DIGITS.sub("0", text)
@@ -70,6 +81,9 @@ def line_keys(text: str, brand: str) -> tuple[int, int, int]:
     return key_a, key_b, key_l
 
 
+_short_line_keys = lru_cache(1 << 16)(_line_keys)
+
+
 @lru_cache(4096)
 def _brand_pattern(brand: str) -> re.Pattern:
     return re.compile(rf"(?i)\b{re.escape(brand)}\b")
@@ -84,10 +98,10 @@ def brand_of(host: str) -> str:
 class Page:
     """Visible lines of one page: text, line number, container path, kind of element, share of linked characters."""
 
-    __slots__ = ("lines", "main", "paths")
+    __slots__ = ("blocks", "lines", "main", "paths")
 
     def __init__(self, content: str):
-        parent, tags, path_of = [-1], ["#"], [0]
+        parent, tags, path_of, section = [-1], ["#"], [0], [0]
         self.paths: list[str] = ["#"]
         known, up_path = {"#": 0}, [0]
         stack, line, linked = [0], 0, 0
@@ -133,13 +147,16 @@ class Page:
                             self.paths.append(path)
                             up_path.append(path_of[up])
                         path_of.append(known[path])
+                        section.append(len(section))
                     else:
                         path_of.append(path_of[up])
+                        section.append(section[up])
                     stack.append(len(tags) - 1)
                     linked += tag == "a"
             line += m.group(0).count("\n")
         self.lines = []
         own = [0.0] * len(self.paths)
+        spans: dict[int, list[int]] = {}
         for no, (text, link, node) in found.items():
             text = _SPACE.sub(" ", text).strip()
             if not text:
@@ -156,7 +173,13 @@ class Page:
             size = len(text)
             share = 1.0 if link >= size else link / size
             path = path_of[node]
+            at = len(self.lines)
             self.lines.append((no, text, path, kind, share))
+            span = spans.get(section[node])
+            if span is None:
+                spans[section[node]] = [at, at + 1]
+            else:
+                span[1] = at + 1
             if top:
                 own[path] += 300.0
             if share < 0.5 and size > 20 and SENTENCE_END.search(text) and text.count(" ") >= 4:
@@ -177,46 +200,83 @@ class Page:
                 break
             best = heavy
         self.main = best
+        # Elements of several lines, the outermost of equal extent; the whole page is none.
+        for n in range(len(tags) - 1, 0, -1):
+            if section[n] == n and n in spans:
+                first, end = spans[n]
+                up = section[parent[n]]
+                if up in spans:
+                    outer = spans[up]
+                    outer[0], outer[1] = min(outer[0], first), max(outer[1], end)
+                else:
+                    spans[up] = [first, end]
+        self.blocks = {(x, y) for n, (x, y) in spans.items() if y - x > 1 and y - x < len(self.lines)}
 
 
-LINES = "array<struct<no:int,text:string,path:int,kind:string,link:float,a:bigint,b:bigint,l:bigint>>"
-PARSED = f"rec_id bigint, host string, main string, paths array<string>, lines {LINES}"
+LINES = "array<struct<no:int,text:string,path:int,kind:string,link:float,inside:boolean,a:bigint,b:bigint,l:bigint>>"
+PARSED = f"rec_id bigint, host string, h bigint, sig array<bigint>, main string, paths array<string>, lines {LINES}, blocks array<struct<start:int,end:int,key:bigint>>"
+
+
+@lru_cache(65536)
+def host_hash(host: str | None) -> int:
+    return _hash("h:" + host) if host is not None else 0
 
 
 def _emit(rows: list[tuple]):
-    """Rows (rec_id, host, main, paths, lines) as one Arrow batch, built from flat columns."""
+    """Rows (rec_id, host, sig, main, paths, columns of lines, columns of blocks) as one Arrow batch."""
     import pyarrow as pa
 
     def offsets(of):
         out = [0]
         for x in of:
-            out.append(out[-1] + len(x))
+            out.append(out[-1] + x)
         return pa.array(out, pa.int32())
 
-    flat = [x for r in rows for x in r[4]]
-    cols = list(zip(*flat)) if flat else [()] * 8
-    kinds = [pa.int32(), pa.string(), pa.int32(), pa.string(), pa.float32(), pa.int64(), pa.int64(), pa.int64()]
-    names = ["no", "text", "path", "kind", "link", "a", "b", "l"]
-    items = pa.StructArray.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names)
+    def items(at, kinds):
+        return pa.StructArray.from_arrays([pa.array([v for r in rows for v in r[at][k]], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
+
+    lines = [("no", pa.int32()), ("text", pa.string()), ("path", pa.int32()), ("kind", pa.string()), ("link", pa.float32()), ("inside", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("l", pa.int64())]
+    blocks = [("start", pa.int32()), ("end", pa.int32()), ("key", pa.int64())]
     return pa.RecordBatch.from_arrays(
         [
             pa.array([r[0] for r in rows], pa.int64()),
             pa.array([r[1] for r in rows], pa.string()),
-            pa.array([r[2] for r in rows], pa.string()),
-            pa.ListArray.from_arrays(offsets([r[3] for r in rows]), pa.array([p for r in rows for p in r[3]], pa.string())),
-            pa.ListArray.from_arrays(offsets([r[4] for r in rows]), items),
+            pa.array([host_hash(r[1]) for r in rows], pa.int64()),
+            pa.array([r[2] for r in rows], pa.list_(pa.int64())),
+            pa.array([r[3] for r in rows], pa.string()),
+            pa.ListArray.from_arrays(offsets(len(r[4]) for r in rows), pa.array([p for r in rows for p in r[4]], pa.string())),
+            pa.ListArray.from_arrays(offsets(len(r[5][0]) for r in rows), items(5, lines)),
+            pa.ListArray.from_arrays(offsets(len(r[6][0]) for r in rows), items(6, blocks)),
         ],
-        ["rec_id", "host", "main", "paths", "lines"],
+        ["rec_id", "host", "h", "sig", "main", "paths", "lines", "blocks"],
     )
 
 
+def signature(keys) -> list[int]:
+    """The keys that come first in three different orders: a copy with few changed lines keeps most of them."""
+    if not keys:
+        return [0, 0, 0]
+    return [min(keys), max(keys), min(keys, key=lambda k: (k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)]
+
+
+def inside_paths(paths: list[str], main: str) -> list[bool]:
+    """Whether each container is the main one or within it."""
+    return [p == main or p.startswith(main + ">") for p in paths]
+
+
 def _parse_batches(batches: Iterator) -> Iterator:
     for batch in batches:
         rows = []
         for rec, host, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             page, brand = Page(content), brand_of(host)
-            lines = [(no, text, path, kind, link, *line_keys(text, brand)) for no, text, path, kind, link in page.lines]
-            rows.append((rec, host, page.paths[page.main], page.paths, lines))
+            main = page.paths[page.main]
+            within = inside_paths(page.paths, main)
+            no, text, path, kind, link = zip(*page.lines) if page.lines else ((),) * 5
+            inside = [within[p] for p in path]
+            a, b, label = zip(*[line_keys(t, brand) for t in text]) if text else ((),) * 3
+            blocks = [(x, y, _hash("s:" + repr(a[x:y]))) for x, y in page.blocks]
+            sig = signature([k for k, i, t, e in zip(a, inside, text, kind) if i and e == "P" and len(t) >= SIGNED_LENGTH] or a)
+            rows.append((rec, host, sig, main, page.paths, (no, text, path, kind, link, inside, a, b, label), tuple(zip(*blocks)) or ((),) * 3))
             if len(rows) >= 500:
                 yield _emit(rows)
                 rows = []
@@ -228,21 +288,25 @@ def _plain_batches(batches: Iterator) -> Iterator:
     for batch in batches:
         rows = []
         for rec, host, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            brand, lines = brand_of(host), []
-            for no, raw in enumerate(content.split("\n")):
-                text = _SPACE.sub(" ", raw).strip()
-                if text:
-                    lines.append((no, text, 0, "X", 0.0, *line_keys(text, brand)))
-            rows.append((rec, host, "#", ["#"], lines))
+            brand = brand_of(host)
+            lines = [(no, text) for no, raw in enumerate(content.split("\n")) if (text := " ".join(raw.split()))]
+            n = len(lines)
+            no, text = zip(*lines) if lines else ((), ())
+            a, b, label = zip(*[line_keys(t, brand) for t in text]) if n else ((),) * 3
+            rows.append((rec, host, signature([k for k, t in zip(a, text) if len(t) >= SIGNED_LENGTH] or a), "#", ["#"], (no, text, [0] * n, ["X"] * n, [0.0] * n, [True] * n, a, b, label), ((),) * 3))
+            if len(rows) >= 500:
+                yield _emit(rows)
+                rows = []
         if rows:
             yield _emit(rows)
 
 
 def parse(df: DataFrame, rec_id: str, url: str, content: str, markup: bool = True) -> DataFrame:
-    """One row for each distinct (record, content) with visible text: rec_id, host, main, paths, lines.
+    """One row for each distinct (record, content) with visible text: rec_id, host, h (its hash), sig, main, paths, lines, blocks.
 
     Null, empty and blank contents give no row; exact repeats of a record give one; a null url gives a null host. Texts of any
     length are read whole. markup: the content may hold HTML (plain text then has the single container '#'); else it is plain.
+    sig: three signatures of the main text, at least one of which copies with small edits share.
     """
     rows = df.select(F.col(rec_id).cast("long").alias("rec_id"), site_of(F.col(url)).alias("host"), F.col(content).alias("content")).where(F.col("content").rlike(r"\S"))
     if not markup:
@@ -251,105 +315,147 @@ def parse(df: DataFrame, rec_id: str, url: str, content: str, markup: bool = Tru
 
 
 def host_main_paths(parsed: DataFrame) -> DataFrame:
-    """(host, host_main): the container that is the main one on most pages of the host, where that is at least half of them."""
-    each = parsed.groupBy("host", "main").agg(F.count("*").alias("n"))
-    best = each.groupBy("host").agg(F.max(F.struct("n", "main")).alias("best"), F.sum("n").alias("all"))
-    return best.where((F.col("best.n") * 2 >= F.col("all")) & F.col("host").isNotNull()).select("host", F.col("best.main").alias("host_main"))
+    """(h, host_main): the container that is the main one on most pages of the host, where that is at least half of them."""
+    each = parsed.where(F.col("host").isNotNull()).groupBy("h", "main").agg(F.count("*").alias("n"))
+    best = each.groupBy("h").agg(F.max(F.struct("n", "main")).alias("best"), F.sum("n").alias("all"))
+    return best.where(F.col("best.n") * 2 >= F.col("all")).select("h", F.col("best.main").alias("host_main"))
 
 
-def _keyed(parsed: DataFrame) -> DataFrame:
-    """Each line's keys with its code (O outside the main container, else the kind of element; X plain text) and its two contexts.
-
-    A context is the neighbouring line; at either end of a record or main container it is the record itself, outside main containers the
-    host (menus keep their order on all pages of a host).
-    """
-    inside = lambda p: (p == F.col("main")) | p.startswith(F.concat(F.col("main"), F.lit(">")))
-    flagged = parsed.where(F.size("lines") > 0).withColumn("__in", F.transform("paths", inside))
-    at = lambda i, name: F.get(F.col("lines"), i)[name]
+def distinct_pages(parsed: DataFrame) -> DataFrame:
+    """(rec_id, h) of one page of each group of copies within a host: pages that are the first with most of their signatures."""
+    first = parsed.select("h", "rec_id", F.posexplode("sig").alias("i", "sig")).groupBy("h", "i", "sig").agg(F.min("rec_id").alias("rec_id"))
+    return first.groupBy("h", "rec_id").agg(F.countDistinct("i").alias("n")).where("n > 1").select("rec_id", "h")
 
-    def line(i: Column) -> Column:
-        code = F.when(at(i, "kind") == "X", "X").when(F.get(F.col("__in"), at(i, "path")), at(i, "kind")).otherwise("O")
-        within = lambda j: F.coalesce(F.get(F.col("__in"), at(j, "path")), F.lit(False))
-        ends = lambda j: F.when(code == "O", F.xxhash64("host")).when(within(j), at(j, "a")).otherwise(F.xxhash64("rec_id"))
-        return F.struct(at(i, "a").alias("a"), at(i, "b").alias("b"), at(i, "l").alias("l"), code.alias("code"), ends(i - 1).alias("before"), ends(i + 1).alias("after"))
 
-    rows = flagged.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("lines") - 1), line)).alias("x"))
-    keys = F.array(F.struct(F.col("x.a").alias("key"), F.lit(False).alias("label")), F.struct(F.col("x.b").alias("key"), F.lit(False).alias("label")), F.struct(F.col("x.l").alias("key"), F.lit(True).alias("label")))
-    return rows.select(F.explode(keys).alias("k"), "x.code", "x.before", "x.after").select("k.key", "k.label", "code", "before", "after").where("key != 0")
+def host_counts(parsed: DataFrame) -> DataFrame:
+    """(h, key, type, n, out_n, head_n, item_n, plain_n, size): on how many distinct pages of each host each line or subtree stands, and in which places.
 
-
-def template_keys(parsed: DataFrame, min_contexts: int = MIN_CONTEXTS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(key, kind, n) of the keys whose lines stand between many different neighbours, n the smaller number of the two sides.
-
-    kind: B boilerplate; N boilerplate seen mostly outside main containers (menus, labels of link lists); H heading form; L list form.
+    type: a for a line, l its leading label, s subtree of several lines. out_n outside the main container, head_n as heading, item_n as list item
+    or code, plain_n in plain texts; size: distinct pages of the host. The rows are
+    partly counted before they are shuffled, so a menu on all pages of a huge host is one row for each task.
+    """
+    pages = cut(distinct_pages(parsed), "distinct-pages")
+    sizes = cut(pages.groupBy("h").agg(F.count("*").alias("size")), "host-sizes")
+    slim = parsed.select("rec_id", "h", F.col("lines.a").alias("a"), F.col("lines.b").alias("b"), F.col("lines.l").alias("l"), F.col("lines.kind").alias("kind"), F.col("lines.inside").alias("inside"), F.col("blocks.key").alias("s"))
+    slim = slim.join(pages.select("rec_id"), "rec_id", "left_semi")
+    lines = slim.select("h", F.inline(F.arrays_zip("a", "b", "l", "kind", "inside")))
+    each = lines.select("h", "kind", "inside", F.explode(F.array("a", "b", "l")).alias("key"), F.col("l").alias("__l")).where("key != 0")
+    each = each.select("h", "key", F.when(F.col("key") == F.col("__l"), "l").otherwise("a").alias("type"), "kind", "inside")
+    blocks = slim.select("h", F.explode("s").alias("key"), F.lit("s").alias("type"), F.lit("P").alias("kind"), F.lit(True).alias("inside"))
+    is_ = lambda *kinds: F.sum((F.col("inside") & F.col("kind").isin(*kinds)).cast("int"))
+    counted = each.unionByName(blocks).groupBy("h", "key", "type").agg(F.count("*").alias("n"), F.sum((~F.col("inside")).cast("int")).alias("out_n"), is_("H").alias("head_n"), is_("L", "C").alias("item_n"), is_("X").alias("plain_n"))
+    return counted.join(sizes, "h")
+
+
+def template_table(counts: DataFrame, min_pages: int = MIN_PAGES, min_rate: float = MIN_RATE) -> DataFrame:
+    """(key, h, kind) of the templates in host_counts; h is null for those of all hosts.
+
+    kind: B boilerplate; N boilerplate seen mostly outside main containers (menus, labels of link lists); H heading form; L list form;
+    S a subtree of several lines. A line is a template of all hosts if its repeats (uses after the first on a host) are min_rate of the
+    pages of the hosts that have it; one use by chance on many other hosts counts against it. Lines that stand mostly outside main
+    containers are told by that. On a single host it is one from
+    HOST_PAGES pages that are HOST_SHARE of them; forms of headings and lists are none.
     """
-    keyed = _keyed(parsed)
-    least = max(min_contexts, int(min_share * parsed.count()))
-    counted = keyed.groupBy("key", "label").agg(F.count("*").alias("all"), *[F.sum(F.when(F.col("code") == c, 1).otherwise(0)).alias(c) for c in "OHLCPX"])
-    often = counted.where(F.col("all") >= least)  # at most (keys of all lines) / least of them: a proven bound
-    sides = keyed.join(F.broadcast(often.select("key")), "key", "left_semi").select("key", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("ctx")), F.struct(F.lit(1).alias("side"), F.col("after").alias("ctx")))).alias("s"))
-    spread = sides.select("key", "s.side", "s.ctx").distinct().groupBy("key", "side").count().groupBy("key").agg(F.min("count").alias("n"))
-    main, seen = F.col("H") + F.col("L") + F.col("C") + F.col("P"), F.col("all") - F.col("X")
+    lines = counts.where("type <> 's'")
+    total = lines.groupBy("key", "type").agg(F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("again"), F.sum("size").alias("size"), *[F.sum(c).alias(c) for c in ("out_n", "head_n", "item_n", "plain_n")])
+    seen = F.col("n") - F.col("plain_n")
+    main, P = seen - F.col("out_n"), seen - F.col("out_n") - F.col("head_n") - F.col("item_n")
     kind = (
-        F.when(F.col("label"), F.when((seen > 0) & (F.col("O") + F.col("P") > 2 * (F.col("L") + F.col("C") + F.col("H"))), "B").when(F.col("H") * 6 >= seen, "H").otherwise("L"))
-        .when((F.col("H") * 6 >= seen) & (F.col("H") > F.col("L")) & (seen > 0), "H")
-        .when((F.col("L") + F.col("C") >= F.col("O")) & ((F.col("L") + F.col("C")) * 3 >= main) & (seen > 0), "L")
-        .when((F.col("O") * 2 > seen) & (seen > 0), "N")
+        F.when(F.col("type") == "l", F.when((seen > 0) & (F.col("out_n") + P > 2 * (F.col("item_n") + F.col("head_n"))), "B").when(F.col("head_n") * 6 >= seen, "H").otherwise("L"))
+        .when((F.col("head_n") * 6 >= seen) & (F.col("head_n") > F.col("item_n")) & (seen > 0), "H")
+        .when((F.col("item_n") >= F.col("out_n")) & (F.col("item_n") * 3 >= main) & (seen > 0), "L")
+        .when((F.col("out_n") * 2 > seen) & (seen > 0), "N")
         .otherwise("B")
     )
-    return often.join(spread, "key").where(F.col("n") >= least).select("key", kind.alias("kind"), "n")
+    found = total.where(F.col("n") >= min(min_pages, FORM_PAGES)).withColumn("kind", kind)
+    told = F.col("kind").isin("H", "L", "N") & (F.col("n") >= FORM_PAGES)
+    shared = found.where(told | ((F.col("n") >= min_pages) & (F.col("again") >= min_rate * F.col("size")))).select("key", F.lit(None).cast("bigint").alias("h"), "kind")
+    host_form = ((F.col("head_n") * 6 >= F.col("n")) & (F.col("head_n") > F.col("item_n"))) | (F.col("item_n") * 3 >= F.col("n"))
+    own = counts.where((F.col("h") != 0) & (F.col("n") >= HOST_PAGES))
+    own_lines = own.where((F.col("type") == "a") & ~host_form & (F.col("n") >= HOST_SHARE * F.col("size")) & (F.col("out_n") * 2 <= F.col("n"))).select("key", "h", F.lit("B").alias("kind"))
+    own_blocks = own.where((F.col("type") == "s") & (F.col("n") >= BLOCK_SHARE * F.col("size"))).select("key", "h", F.lit("S").alias("kind"))
+    return shared.unionByName(own_lines).unionByName(own_blocks).distinct()
 
 
-def host_templates(parsed: DataFrame, min_pages: int = HOST_PAGES, share: float = HOST_SHARE) -> DataFrame:
-    """(host, key) of the lines in main containers (or plain texts) that recur on a share of the host's distinct pages.
-
-    Pages with the same two longest lines are copies and count once, so a line that only copies share is on one page. Headings and
-    list items are forms, as in template_keys, and are none. At most 2 x lines per page / share keys a host. A null host has none.
-    """
-    inside = lambda p: (p == F.col("main")) | p.startswith(F.concat(F.col("main"), F.lit(">")))
-    flagged = parsed.where(F.col("host").isNotNull()).withColumn("__in", F.transform("paths", inside))
-    core = flagged.select("host", F.filter("lines", lambda x: F.get(F.col("__in"), x["path"])).alias("core")).where(F.size("core") > 0)
-    longest = F.slice(F.sort_array(F.transform("core", lambda x: F.struct((-F.length(x["text"])).alias("n"), x["a"].alias("a")))), 1, 2)
-    keys = F.flatten(F.transform("core", lambda x: F.transform(F.array(x["a"], x["b"]), lambda k: F.struct(k.alias("key"), (x["kind"] == "H").alias("h"), x["kind"].isin("L", "C").alias("l")))))
-    pages = core.select("host", F.xxhash64(F.transform(longest, lambda x: x["a"])).alias("page"), F.array_distinct(keys).alias("keys"))
-    each = pages.select("host", "page", F.explode("keys").alias("k")).select("host", "page", "k.*").where("key != 0")
-    each = each.groupBy("host", "key", "page").agg(F.max("h").alias("h"), F.max("l").alias("l"))
-    counted = each.groupBy("host", "key").agg(F.count("*").alias("n"), F.count_if("h").alias("H"), F.count_if("l").alias("L")).where(F.col("n") >= min_pages)
-    form = ((F.col("H") * 6 >= F.col("n")) & (F.col("H") > F.col("L"))) | (F.col("L") * 3 >= F.col("n"))
-    all_pages = pages.groupBy("host").agg(F.countDistinct("page").alias("all"))
-    return counted.where(~form).join(all_pages, "host").where(F.col("n") >= share * F.col("all")).select("host", "key")
+def template_keys(parsed: DataFrame, min_pages: int = MIN_PAGES, min_rate: float = MIN_RATE) -> DataFrame:
+    """template_table of the counts of parsed."""
+    return template_table(host_counts(parsed), min_pages, min_rate)
 
 
 class Templates:
-    """Kinds by key, sorted arrays; small enough to send to tasks (see the bound above). own: keys of one host's templates."""
+    """Kinds by key, as sorted arrays. A host's own templates have their key crossed with the host's hash."""
 
-    def __init__(self, rows):
+    def __init__(self, rows=()):
         import numpy as np
 
-        order = sorted((r.key, ord(r.kind)) for r in rows)
+        found: dict[int, str] = {}
+        for r in rows:
+            key = r["key"] if r["h"] is None else r["key"] ^ r["h"]
+            if found.get(key, "Z") > r["kind"]:  # B before H before L
+                found[key] = r["kind"]
+        order = sorted(found.items())
         self.keys = np.array([k for k, _ in order], dtype="int64")
-        self.kinds = np.array([v for _, v in order], dtype="uint8")
-        self._dict, self.own = None, frozenset()
-
-    def on_host(self, own) -> Templates:
-        """The same with a host's own templates."""
-        self.get(0)
-        seen = object.__new__(Templates)
-        seen.keys, seen.kinds, seen._dict, seen.own = self.keys, self.kinds, self._dict, frozenset(own)
-        return seen
+        self.kinds = np.array([ord(v) for _, v in order], dtype="uint8")
+        self._dict = None
 
     def get(self, key: int) -> str:
         if self._dict is None:
             self._dict = dict(zip(self.keys.tolist(), map(chr, self.kinds.tolist())))
         return self._dict.get(key, "")
 
-    def of(self, a: int, b: int, label: int) -> str:
-        """The kind of a line by its keys, '' if it is no template."""
-        return self.get(a) or (b and self.get(b)) or ("B" if a in self.own or (b and b in self.own) else "") or (label and self.get(label)) or ""
+    def of(self, a: int, b: int, label: int, h: int = 0) -> str:
+        """The kind of a line by its keys and its host's hash, '' if it is no template."""
+        return self.get(a) or (b and self.get(b)) or (h and (self.get(a ^ h) or (b and self.get(b ^ h)))) or (label and self.get(label)) or ""
+
+    def many(self, keys):
+        """Kinds (as characters' codes, 0: none) of an array of keys."""
+        import numpy as np
+
+        if not len(self.keys):
+            return np.zeros(len(keys), np.uint8)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((self.keys[at] == keys) & (keys != 0), self.kinds[at], 0)
+
+    def lines(self, a, b, label, h):
+        """of() for arrays."""
+        import numpy as np
+
+        out = self.many(a)
+        for keys in (b, np.where(h != 0, a ^ h, 0), np.where((h != 0) & (b != 0), b ^ h, 0), label):
+            rest = np.flatnonzero(out == 0)
+            if len(rest):
+                out[rest] = self.many(keys[rest])
+        return out
 
     def __getstate__(self):
         return self.keys, self.kinds
 
     def __setstate__(self, state):
         self.keys, self.kinds = state
-        self._dict, self.own = None, frozenset()
+        self._dict = None
+
+
+def known_by_record(parsed: DataFrame, found: DataFrame, parts) -> DataFrame:
+    """(rec_id, known array of (key, h, kind)): the templates that a record's lines, their parts and its subtrees can meet.
+
+    The way for more templates than are broadcast: (record, hash) pairs are joined with the verdicts. parts(text, brand) gives the keys
+    within a line. A record's array is bounded by its own lines.
+    """
+
+    def keys_of(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            rec, key, hs = [], [], []
+            for r, host, h, texts in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                brand = brand_of(host)
+                own = {k for t in texts for k in (*line_keys(t, brand), *parts(t, brand)) if k}
+                rec += [r] * len(own)
+                key += own
+                hs += [h] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(rec, pa.int64()), pa.array(key, pa.int64()), pa.array(hs, pa.int64())], ["rec_id", "key", "__h"])
+
+    keys = parsed.select("rec_id", "host", "h", F.col("lines.text").alias("texts")).mapInArrow(keys_of, "rec_id bigint, key bigint, __h bigint")
+    keys = keys.unionByName(parsed.select("rec_id", F.explode("blocks.key").alias("key"), F.col("h").alias("__h")))
+    met = keys.join(found, "key").where(F.col("h").isNull() | (F.col("h") == F.col("__h")))
+    return met.groupBy("rec_id").agg(F.collect_set(F.struct("key", "h", "kind")).alias("known"))

@@ -1,20 +1,24 @@
 """Problem 3: template residue and error-page text.
 
-Method: message templates are mined with a fixed-depth prefix tree: a sentence of a page's main area goes down the path of its
-first tokens (names and digits masked), and its leaf is the template. Each template is classified once, by where it occurs and by
-phrases of notices: a message stands on pages that hold no running text, ordinary sentences and site furniture stand on pages that
-do. The verdict is then propagated to the pages. Unresolved slots ({{name}}, %title%, [INSERT DATE] ...) are found separately inside all records; a
-slot whose surrounding words recur in different pages that mostly hold running text besides is quoted by a text about templates and is none. The status code plays no part.
+Method: message templates are mined with a fixed-depth prefix tree: a sentence of a page's main area goes down by its length class and
+its first tokens (names behind the first token and digits are wildcards); its leaf, at depth 3, is the template. Leaves that are too rare to
+be judged are merged into their parent, where the third token is a wildcard too. Each template is classified once, by where it occurs: a
+message stands on pages that hold no running text, ordinary sentences and site furniture stand on pages that do. A fixed list of phrases
+of notices is the seed for messages that are too rare to be counted. The verdicts are then propagated to the pages. Unresolved slots
+({{name}}, %title%, [INSERT DATE] ...) are found separately inside all records; a slot whose surrounding words recur in different pages that
+mostly hold running text besides is quoted by a text about templates and is none. The status code plays no part.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm.pages import _hash
+from gleanery.session import cut, discard
 
 DEPTH = 3
 #: A page with fewer words of running text than this is bare.
@@ -45,13 +49,15 @@ _NOTICE = re.compile(
 )
 _TOKEN = re.compile(r"\w[\w'’-]*")
 _EDGES = ".,:;!?…()[]{}«»“”„\"'–—-·|/"
-_SPLIT = re.compile(r"(?<=[.!?…])\s+|\s+[/|]\s+")
+_SPLIT = re.compile(r" (?:(?<=[.!?…] )|[/|] )")  # lines have single spaces only
+#: Upper ends of the classes of length, in words.
+_LENGTHS = (1, 2, 3, 6, 12)
 
 
-def template_of(sentence: str) -> int:
-    """The leaf of a sentence: its first tokens, names behind the first token and digits masked."""
+@lru_cache(1 << 16)
+def _nodes(head: tuple[str, ...], length: int) -> tuple[int, int]:
     path = []
-    for t in sentence.split(None, DEPTH)[:DEPTH]:
+    for t in head:
         t = t.strip(_EDGES)
         if not t:
             continue
@@ -60,7 +66,21 @@ def template_of(sentence: str) -> int:
         elif path and t[0].isupper() and not t.isupper():
             t = "C"
         path.append(t.lower() if t != "C" else t)
-    return _hash("m:" + " ".join(path)) if path else 0
+    if not path:
+        return 0, 0
+    root = f"m:{length}:"
+    return _hash(root + " ".join(path)), _hash(root + " ".join([*path[: DEPTH - 1], "*"])) if len(path) == DEPTH else 0
+
+
+def nodes_of(sentence: str) -> tuple[int, int]:
+    """The leaf of a sentence in the tree and its parent (0: none)."""
+    words = sentence.count(" ") + 1
+    return _nodes(tuple(sentence.split(None, DEPTH)[:DEPTH]), next((i for i, n in enumerate(_LENGTHS) if words <= n), len(_LENGTHS)))
+
+
+def template_of(sentence: str) -> int:
+    """The leaf of a sentence."""
+    return nodes_of(sentence)[0]
 
 
 def surroundings(core: list[str], running: list[str]) -> tuple[int, bool]:
@@ -72,22 +92,26 @@ def surroundings(core: list[str], running: list[str]) -> tuple[int, bool]:
 
 
 def describe(core: list[str], running: list[str]) -> tuple[int, int, list[dict], list[int], int, bool]:
-    """Of a page's main area: words, words of running text, sentences (template, context, notice phrase, running text), contexts of slots (0 for none), empty values, dummy text."""
+    """Of a page's main area: words, words of running text, sentences, contexts of slots (0 for none), empty values, dummy text.
+
+    sentences: of a bare page (template, parent, context, notice phrase, running text) each; of others only the nodes of the tree.
+    """
     words = sum(x.count(" ") + 1 for x in core)
     text_words = sum(x.count(" ") + 1 for x in running)
-    text_lines = set(running)
-    parts, ordinary = [], []
-    for x in core:
-        for p in _SPLIT.split(x):
-            parts.append(p)
-            ordinary.append(x in text_lines and p.count(" ") >= 3)
-    leaves = [template_of(p) for p in parts]
     bare = text_words < BARE_WORDS
-    sentences = {}
-    for i, (h, p) in enumerate(zip(leaves, parts)):
-        if h:
-            around = hash((leaves[i - 1] if i else 0, leaves[i + 1] if i + 1 < len(leaves) else 0)) if bare else 0
-            sentences[h] = {"template": h, "context": around, "notice": bare and bool(_NOTICE.search(p)), "text": ordinary[i]}
+    sentences: list | dict
+    if bare:
+        text_lines = set(running)
+        parts = [(p, x in text_lines and p.count(" ") >= 3) for x in core for p in _SPLIT.split(x)]
+        leaves = [nodes_of(p) for p, _ in parts]
+        sentences = {}
+        for i, ((leaf, parent), (p, ordinary)) in enumerate(zip(leaves, parts)):
+            if leaf:
+                around = hash((leaves[i - 1][0] if i else 0, leaves[i + 1][0] if i + 1 < len(leaves) else 0))
+                sentences[leaf] = {"template": leaf, "parent": parent, "context": around, "notice": bool(_NOTICE.search(p)), "text": ordinary}
+        sentences = list(sentences.values())
+    else:
+        sentences = list({n for x in core for p in _SPLIT.split(x) for n in nodes_of(p) if n})
     slots, empty = [], 0
     for x in core:
         if any(c in x for c in "{%[_@:") and (found := list(_SLOT.finditer(x))):
@@ -103,7 +127,7 @@ def describe(core: list[str], running: list[str]) -> tuple[int, int, list[dict],
         hits = [t for t in low if t in _DUMMY]
         dummy = len(hits) >= 2 and len(hits) * 25 >= len(low) and ("lorem" in hits or "ipsum" in hits)
     filler = sum(len(t) >= 3 and len({re.sub(r"(.)\1+", r"\1", w.lower()) for w in t}) == 1 for t in (_TOKEN.findall(x) for x in core) if t) if bare else 0
-    return words, text_words, list(sentences.values()), slots, empty, dummy or filler > 0
+    return words, text_words, sentences, slots, empty, dummy or filler > 0
 
 
 def residue_pages(labelled: DataFrame, min_contexts: int = MIN_CONTEXTS, ratio: float = RATIO) -> DataFrame:
@@ -118,21 +142,30 @@ def residue_pages(labelled: DataFrame, min_contexts: int = MIN_CONTEXTS, ratio:
     open_slots = slots.join(quoted, "slot", "left").where(F.col("quoted").isNull()).groupBy("rec_id").agg(F.count("*").alias("n"), F.max("words").alias("words"))
     unfilled = open_slots.where((F.col("n") >= 2) | (F.col("words") < 60)).select("rec_id")
     plain = about.where(F.col("dummy") | ((F.col("empty") > 0) & ((F.col("empty") * 4 >= F.col("words")) | (F.col("bare") & (F.col("empty") > 1))))).select("rec_id")
-    sentences = about.select("rec_id", "host", "bare", F.explode("sentences").alias("s")).select("rec_id", "host", "bare", "s.*")
-    spread = sentences.where("bare").select("template", "context").distinct().groupBy("template").agg(F.count("*").alias("contexts"))
+    sentences = cut(about.select("rec_id", "host", F.explode("sentences").alias("s")).select("rec_id", "host", "s.*"), "bare-sentences")
+    nodes = sentences.select("rec_id", "host", F.explode(F.array("template", "parent")).alias("node"), "context", "notice").where("node <> 0").distinct()
+    spread = nodes.select("node", "context").distinct().groupBy("node").agg(F.count("*").alias("contexts"))
     # How many full pages a template would stand on if it kept to the rate of its own hosts: where all pages are bare, being on bare pages says nothing.
     hosts = about.groupBy("host").agg((F.count_if(~F.col("bare")) / F.count("*")).alias("full_share"))
-    each = sentences.groupBy("template", "host").agg(F.count_if("bare").alias("on_bare"), F.count_if(~F.col("bare")).alias("on_full"), F.max(F.col("notice").cast("int")).alias("notice")).join(hosts, "host")
+    on_bare = nodes.groupBy("node", "host").agg(F.countDistinct("rec_id").alias("on_bare"), F.max(F.col("notice").cast("int")).alias("notice"))
+    met = cut(nodes.select("node").distinct(), "bare-nodes")
+    on_full = about.where(~F.col("bare")).select("host", F.explode("nodes").alias("node")).join(met, "node", "left_semi").groupBy("node", "host").agg(F.count("*").alias("on_full"))
+    each = on_bare.join(on_full, ["node", "host"], "full").na.fill(0, ["on_bare", "on_full", "notice"]).join(hosts, "host")
     expected = F.sum((F.col("on_bare") + F.col("on_full")) * F.col("full_share")).alias("expected")
-    where = each.groupBy("template").agg(F.sum("on_bare").alias("on_bare"), F.sum("on_full").alias("on_full"), F.max("notice").alias("notice"), expected)
+    counts = each.groupBy("node").agg(F.sum("on_bare").alias("on_bare"), F.sum("on_full").alias("on_full"), F.max("notice").alias("notice"), expected).join(spread, "node")
+    counted = (F.col("contexts") >= min_contexts) & (F.col("on_bare") >= ratio * F.col("on_full")) & (F.col("expected") >= ratio * F.greatest("on_full", F.lit(1)))
     verdict = (
         F.when((F.col("notice") == 1) & (F.col("on_bare") >= F.col("on_full")), "message")
-        .when((F.col("contexts") >= min_contexts) & (F.col("on_bare") >= ratio * F.col("on_full")) & (F.col("expected") >= ratio * F.greatest("on_full", F.lit(1))), "message")
+        .when(counted, "message")
         .when(F.col("on_full") > ratio * F.col("on_bare"), "other")
         .otherwise("unknown")
     )
-    judged = where.where("on_bare > 0").join(spread, "template").select("template", verdict.alias("verdict"))
-    votes = sentences.where("bare").join(judged, "template").groupBy("rec_id").agg(F.sum((F.col("verdict") == "message").cast("int")).alias("messages"), F.sum(((F.col("verdict") != "message") & F.col("text")).cast("int")).alias("others"))
+    judged = cut(counts.select("node", "contexts", "on_full", verdict.alias("verdict"), counted.alias("counted")), "judged")
+    # A leaf that is too rare to be judged takes the counted verdict of its parent.
+    leaf, parent = judged.select(F.col("node").alias("template"), "verdict", "contexts", "on_full"), judged.select(F.col("node").alias("parent"), F.col("counted").alias("merged"))
+    rare = (F.col("verdict") == "unknown") & (F.col("contexts") < min_contexts) & (F.col("on_full") == 0)
+    said = sentences.join(leaf, "template").join(parent, "parent", "left").withColumn("message", (F.col("verdict") == "message") | (rare & F.coalesce("merged", F.lit(False))))
+    votes = said.groupBy("rec_id").agg(F.sum(F.col("message").cast("int")).alias("messages"), F.sum((~F.col("message") & F.col("text")).cast("int")).alias("others"))
     shown = votes.where((F.col("messages") > 0) & (F.col("messages") >= F.col("others"))).select("rec_id")
     return unfilled.unionByName(plain).unionByName(shown).select(F.col("rec_id").alias("page_id")).distinct()
 
@@ -140,10 +173,9 @@ def residue_pages(labelled: DataFrame, min_contexts: int = MIN_CONTEXTS, ratio:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of raw_pages without real content, whatever their status."""
     from gleanery.llm.boilerplate import corpus, label
-    from gleanery.session import cut, discard
 
-    pages, _, templates = corpus(spark, sf_dir, texts=False)
-    labelled = cut(label(pages, templates).select("rec_id", "host", "about"), "labelled-pages")
+    pages, _, found = corpus(spark, sf_dir, texts=False)
+    labelled = cut(label(pages, found).select("rec_id", "host", "about"), "labelled-pages")
     discard(pages)
     return residue_pages(labelled)
 

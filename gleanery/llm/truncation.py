@@ -37,7 +37,7 @@ WITH s AS (
   SELECT doc_id, no = kept - 1 AS final, short, whole, IF(no = kept - 1, regexp_replace(whole, :trailing, ''), whole) AS line FROM e
 ), m AS (
   SELECT doc_id, final, short OR length(line) < length(rtrim(whole)) AS marked, final AND NOT short AND substring(whole, length(line) + 1) RLIKE '^\\.{{3}}\\s*$' AS dots, line RLIKE '[.!?]["»”)]?\\s+\\S' AS several,
-         regexp_extract_all(regexp_replace(regexp_replace(line, '\\p{{N}}+', '0'), '(?<=[\\s(«"“/–—-])\\p{{Lu}}[\\p{{L}}\\p{{M}}\'’]*(?:-0)?', 'C'), '\\p{{L}}[\\p{{L}}\\p{{M}}\'’]*|0|[^\\s\\p{{L}}\\p{{N}}]', 0) AS w
+         regexp_extract_all(regexp_replace(regexp_replace(line, '\\p{{N}}+', '0'), '\\p{{Lu}}(?<=[\\s(«"“/–—-]\\p{{Lu}})[\\p{{L}}\\p{{M}}\'’]*(?:-0)?', 'C'), '\\p{{L}}[\\p{{L}}\\p{{M}}\'’]*|0|[^\\s\\p{{L}}\\p{{N}}]', 0) AS w
   FROM t
 )
 SELECT doc_id, final, marked, dots, several, size(w) AS n, array_join(w, ' ') AS tokens, element_at(w, -1) RLIKE '^[\\p{{L}}0]' AS unended,
