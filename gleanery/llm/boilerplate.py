@@ -252,7 +252,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, docs, found = corpus(spark, sf_dir)
     labelled = cut(label(pages, found).select("rec_id", "host", "boiler", "about"), "labelled-pages")
     discard(pages)
-    bad = residue_pages(labelled)
+    bad = cut(residue_pages(labelled), "residue")
     raw = labelled.join(bad, labelled.rec_id == bad.page_id, "left_anti").select(F.lit("raw_pages").alias("src"), "rec_id", F.explode(F.col("boiler").cast("array<bigint>")).alias("line_no"))
     text = labelled_texts(spark, sf_dir, docs, found).select(F.lit("processed_docs").alias("src"), "rec_id", F.explode(F.col("boiler").cast("array<bigint>")).alias("line_no"))
     return raw.unionByName(text)

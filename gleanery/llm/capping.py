@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.sites import site_of
 from gleanery.operators.ranking import distributed_row_number
-from gleanery.session import cut, load
+from gleanery.session import cut, discard, load
 
 
 def quality_order(quality: str, record: str) -> list[Column]:
@@ -27,7 +27,8 @@ def suitor_matching(proposals: DataFrame, capacity: Column | int, record: str =
 
     proposals: one row for each record and contributor; repeats of a pair count once, a record's best quality counts. capacity: places
     of each contributor, a number or a column of proposals. A null contributor sets no limit. Ties of quality go by record id. single
-    says that each record lists one contributor: then one round settles all. Records without any proposal are not in the result.
+    promises that each record lists one contributor: then the first proposals settle all, and nothing needs to be written in between.
+    Records without any proposal are not in the result.
     """
     open_ = proposals.select(F.col(record).alias("r"), F.col(contributor).alias("c"), F.col(quality).cast("double").alias("q"), (capacity if isinstance(capacity, Column) else F.lit(capacity)).cast("bigint").alias("cap"))
     open_ = open_.groupBy("r", "c").agg(F.max(F.when(~F.isnan("q"), F.col("q"))).alias("q"), F.min("cap").alias("cap"))
@@ -47,7 +48,8 @@ def suitor_matching(proposals: DataFrame, capacity: Column | int, record: str =
         out = cut(out.where("full").select("r"), "displaced")
         verdicts = held.withColumn("kept", F.lit(True)).unionByName(out.withColumn("kept", F.lit(False)))
         settled = verdicts if settled is None else settled.unionByName(verdicts)
-        open_ = cut(rest.join(out, "r", "left_anti"), "open")
+        before, open_ = open_, cut(rest.join(out, "r", "left_anti"), "open")
+        discard(before)
         if open_.isEmpty():
             return settled.select(F.col("r").alias(record), "kept")
 
@@ -64,11 +66,22 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents beyond the first max(3, N / 100) of their site by quality."""
     docs = site_documents(spark, sf_dir)
     n = load(spark, sf_dir, "site_docs").select("document_id").distinct().count()
-    kept = suitor_matching(docs, max(3, n // 100), single=True)
+    kept = suitor_matching(docs, max(3, n // 100))
     return kept.where(~F.col("kept")).select(F.col("record_id").alias("document_id"))
 
 
-QUERIES = {"p4_found": p4_found}
+def p4_sites_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document_id, kept) where a document needs a place with its site and with each of its authors, max(3, N / 100) places each."""
+    docs = site_documents(spark, sf_dir)
+    n = load(spark, sf_dir, "site_docs").select("document_id").distinct().count()
+    names = F.filter(F.transform(F.split("author_name", r"\s*[,;&]\s*|\s+and\s+"), lambda x: F.lower(F.trim(x))), lambda x: x != "")
+    authors = load(spark, sf_dir, "site_docs").select(F.col("document_id").alias("record_id"), F.explode(names).alias("name")).distinct()
+    listed = docs.withColumn("contributor", F.concat(F.lit("site:"), "contributor"))
+    listed = listed.unionByName(authors.join(docs.select("record_id", "quality"), "record_id").select("record_id", F.concat(F.lit("author:"), "name").alias("contributor"), "quality"))
+    return suitor_matching(listed, max(3, n // 100)).select(F.col("record_id").alias("document_id"), "kept")
+
+
+QUERIES = {"p4_found": p4_found, "p4_sites_authors": p4_sites_authors}
 
 SQL = {
     "p4_found": r"""

@@ -3,8 +3,10 @@
 Method: minhash with tensored banding. Two small collections of sub-bands are computed; each table key combines one sub-band of either, so
 t x t keys come from 2 t sub-bands' minhashes. Two bodies that share a key are candidates, and every candidate pair is verified by
 its exact similarity. Bodies with equal shingles are one class: only its representative is compared, and members are joined in at the end.
-Only sub-bands and sketches are kept for every text; the keys are combined on the way into the one shuffle that needs them, and shingles are
-made again for the texts that are in a candidate pair.
+
+The table is built lazily: bodies are first put together by their first sub-bands. One that is alone there has no partner under any key that
+begins with it; in small buckets the second sub-bands are compared pair by pair; only the rows of large buckets are multiplied into full keys. So
+the candidates are those of all t x t keys, while few of the keys are ever written.
 """
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ from gleanery.session import cut, discard
 #: Sub-bands of each of the two collections, and minhashes of each sub-band.
 SUB_BANDS, ROWS = 16, 2
 SIMILARITY, WIDTH, MIN_WORDS = 0.5, 3, 40
+#: Bodies with one first sub-band up to which they are compared pair by pair.
+SMALL_BUCKET = 8
+#: Candidates whose equal minhashes lie so many standard deviations below the threshold are not verified (None: all are).
+DEVIATIONS = 4.0
 
 SIGNED = "rec_id bigint, same bigint, words int, sketch array<int>, bands array<bigint>"
 _WORD = re.compile(r"\w+")
@@ -106,10 +112,8 @@ def _sign_batches(width: int, min_words: int, sub_bands: int, rows: int):
                         continue
                     s = signer.shingles(words)
                     sketch, b = signer.sign(s)
-                    with np.errstate(over="ignore"):
-                        whole = int(_mix(s).sum(dtype=np.uint64) ^ np.uint64(len(s)))
                     kept.append(rec)
-                    same.append(whole - (1 << 63))
+                    same.append(_whole(s))
                     sizes.append(len(words))
                     sketches.append(sketch)
                     bands.append(b)
@@ -118,14 +122,21 @@ def _sign_batches(width: int, min_words: int, sub_bands: int, rows: int):
     return run
 
 
+def _whole(shingles: np.ndarray) -> int:
+    """One number for a set of shingles."""
+    with np.errstate(over="ignore"):
+        return int(_mix(shingles).sum(dtype=np.uint64) ^ np.uint64(len(shingles))) - (1 << 63)
+
+
 def _shingle_batches(width: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         signer = Signer(width)
         for batch in batches:
-            found = [signer.shingles(_WORD.findall((t or "").lower())).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found, np.int64)], ["class_id", "shingles"])
+            found = [signer.shingles(_WORD.findall((t or "").lower())) for t in batch.column(1).to_pylist()]
+            same = pa.array([_whole(x) for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), same, _lists([x.view(np.int64) for x in found], np.int64)], ["class_id", "same", "shingles"])
 
     return run
 
@@ -135,46 +146,69 @@ def sign(texts: DataFrame, record: str, text: str, width: int = WIDTH, min_words
     return texts.select(F.col(record).cast("bigint").alias("rec_id"), F.col(text).alias("text")).mapInArrow(_sign_batches(width, min_words, sub_bands, rows), SIGNED)
 
 
-def class_pairs(signed: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """(members, links): (rec_id, class_id) for every signed record, and (class_a, class_b, similarity) for classes at or above similarity.
+def candidates(heads: DataFrame, small_bucket: int = SMALL_BUCKET) -> DataFrame:
+    """Distinct (class_a, class_b), class_a < class_b, of heads (class_id, bands) that share a key: a first and a second sub-band.
 
-    signed: see sign; texts (rec_id, text): what was signed, one row for each rec_id. class_id is the smallest rec_id with the same
-    shingle set. A candidate must share a table key; its exact similarity decides. Keys of a hot group meet only between different shingle
-    sets, as equal ones are one class.
+    The size of a bucket only decides how its pairs are found. Second sub-bands are compared by 27 bits and their place, so that a few pairs
+    more may come out, never fewer.
     """
-    members = cut(signed.select("rec_id", "same").distinct().join(signed.groupBy("same").agg(F.min("rec_id").alias("class_id")), "same").select("rec_id", "class_id"), "members")
-    heads = cut(signed.join(members.where("rec_id = class_id").select("class_id").distinct(), signed.rec_id == F.col("class_id")).dropDuplicates(["class_id"]).select("class_id", "sketch", "bands"), "heads")
     half = (F.size("bands") / 2).cast("int")
     first, second = F.slice("bands", F.lit(1), half), F.slice("bands", half + 1, half)
-    # Each key is one number; the place of its sub-bands is mixed into them already.
-    combined = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: F.xxhash64(a, b))))
-    keys = heads.select("class_id", F.explode(combined).alias("key"))
-    pairs = keys.alias("x").join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.class_id") < F.col("y.class_id"))).select(F.col("x.class_id").alias("class_a"), F.col("y.class_id").alias("class_b")).distinct()
-    # Sketches first: pairs whose equal minhashes lie four standard deviations below the threshold never meet their shingles.
-    n = 2 * SUB_BANDS * ROWS
-    least = max(0, int(n * similarity - 4 * (n * similarity * (1 - similarity)) ** 0.5))
-    sa, sb = heads.select(F.col("class_id").alias("class_a"), F.col("sketch").alias("sketch_a")), heads.select(F.col("class_id").alias("class_b"), F.col("sketch").alias("sketch_b"))
-    alike = F.size(F.filter(F.zip_with("sketch_a", "sketch_b", lambda x, y: x == y), lambda x: x))
-    pairs = cut(pairs.join(sa, "class_a").join(sb, "class_b").where(alike * n >= least * F.size("sketch_a")).select("class_a", "class_b"), "candidates")
-    needed = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct()
-    shingles = texts.join(needed, texts.rec_id == needed.class_id, "left_semi").select("rec_id", "text").dropDuplicates(["rec_id"]).mapInArrow(_shingle_batches(width), "class_id bigint, shingles array<bigint>")
-    shingles = cut(shingles, "shingles")
+    ones = heads.select("class_id", F.explode(first).alias("key"))
+    sizes = ones.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = ones.join(sizes, "key")
+    marks = F.transform(second, lambda b, i: (F.pmod(b, F.lit(1 << 27)) + i.cast("bigint") * (1 << 27)).cast("bigint"))
+    buckets = cut(shared.join(heads.select("class_id", marks.alias("marks")), "class_id").select("class_id", "key", "n", "marks"), "buckets")
+
+    def pairs(rows: DataFrame, on: str, *also) -> DataFrame:
+        x, y = rows.alias("x"), rows.alias("y")
+        met = x.join(y, (F.col(f"x.{on}") == F.col(f"y.{on}")) & (F.col("x.class_id") < F.col("y.class_id")))
+        for condition in also:
+            met = met.where(condition)
+        return met.select(F.col("x.class_id").alias("class_a"), F.col("y.class_id").alias("class_b"))
+
+    few = pairs(buckets.where(F.col("n") <= small_bucket), "key", F.arrays_overlap("x.marks", "y.marks"))
+    full = buckets.where(F.col("n") > small_bucket).select("class_id", F.explode(F.transform("marks", lambda m: F.xxhash64(F.col("key"), m))).alias("whole"))
+    return few.unionByName(pairs(full, "whole")).distinct()
+
+
+def class_pairs(signed: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, small_bucket: int = SMALL_BUCKET, deviations: float | None = DEVIATIONS) -> tuple[DataFrame, DataFrame]:
+    """(members, links): (rec_id, class_id) for every signed record, and (class_a, class_b, similarity) for classes at or above similarity.
+
+    signed: see sign, one row for each rec_id; texts (rec_id, text): what was signed, other texts of a rec_id do no harm. class_id is the
+    smallest rec_id with the same shingle set. A candidate must share a table key; its exact similarity decides. Keys of a hot group meet
+    only between different shingle sets, as equal ones are one class.
+    """
+    members = cut(signed.select("rec_id", "same").distinct().join(signed.groupBy("same").agg(F.min("rec_id").alias("class_id")), "same").select("rec_id", "class_id", "same"), "members")
+    heads = cut(signed.join(members.where("rec_id = class_id").select("class_id").distinct(), signed.rec_id == F.col("class_id")).dropDuplicates(["class_id"]).select("class_id", "same", "sketch", "bands"), "heads")
+    pairs = candidates(heads, small_bucket)
+    if deviations is not None:  # sketches first: pairs far below the threshold never meet their shingles
+        sa, sb = heads.select(F.col("class_id").alias("class_a"), F.col("sketch").alias("sketch_a")), heads.select(F.col("class_id").alias("class_b"), F.col("sketch").alias("sketch_b"))
+        alike, n = F.size(F.filter(F.zip_with("sketch_a", "sketch_b", lambda x, y: x == y), lambda x: x)), F.size("sketch_a")
+        least = n * similarity - deviations * F.sqrt(n * similarity * (1 - similarity))
+        pairs = pairs.join(sa, "class_a").join(sb, "class_b").where(alike >= F.floor(least)).select("class_a", "class_b")
+    pairs = cut(pairs, "candidates")
+    needed = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct().join(heads.select("class_id", "same"), "class_id")
+    needed = cut(needed, "needed")
+    shingles = texts.join(needed, texts.rec_id == needed.class_id, "left_semi").select("rec_id", "text").mapInArrow(_shingle_batches(width), "class_id bigint, same bigint, shingles array<bigint>")
+    shingles = cut(shingles.join(needed, ["class_id", "same"], "left_semi").dropDuplicates(["class_id"]), "shingles")
     a, b = shingles.select(F.col("class_id").alias("class_a"), F.col("shingles").alias("shingles_a")), shingles.select(F.col("class_id").alias("class_b"), F.col("shingles").alias("shingles_b"))
     both = F.size(F.array_intersect("shingles_a", "shingles_b"))
     exact = pairs.join(a, "class_a").join(b, "class_b").select("class_a", "class_b", (both / (F.size("shingles_a") + F.size("shingles_b") - both)).alias("similarity"))
-    return members, exact.where(F.col("similarity") >= similarity)
+    return members.select("rec_id", "class_id"), exact.where(F.col("similarity") >= similarity)
 
 
 def page_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """class_pairs over the main bodies of raw_pages without the pages that p3_found lists. Of several crawls of a page_id the one with the longest body counts."""
     pages, _, found = corpus(spark, sf_dir, texts=False)
-    labelled = cut(label(pages, found).select("rec_id", "host", "about", F.array_join("body", "\n").alias("body")), "labelled-pages")
+    labelled = cut(label(pages, found).select("rec_id", "host", "about", F.array_join("body", "\n").alias("text")), "labelled-pages")
     discard(pages)
-    bad = residue_pages(labelled)
-    good = labelled.join(bad, labelled.rec_id == bad.page_id, "left_anti").groupBy("rec_id").agg(F.max(F.struct(F.length("body"), F.col("body").alias("text"))).alias("b")).select("rec_id", "b.text")
-    good = cut(good, "bodies")
-    discard(labelled)
-    return class_pairs(cut(sign(good, "rec_id", "text"), "signed"), good)
+    bad = cut(residue_pages(labelled), "residue")
+    texts = labelled.select("rec_id", "text")
+    signed = sign(texts, "rec_id", "text").join(bad, F.col("rec_id") == F.col("page_id"), "left_anti")
+    longest = F.max_by(F.struct("same", "words", "sketch", "bands"), F.struct("words", "same")).alias("x")
+    signed = cut(signed.groupBy("rec_id").agg(longest).select("rec_id", "x.*"), "signed")
+    return class_pairs(signed, texts)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

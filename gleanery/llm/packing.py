@@ -2,8 +2,10 @@
 
 Method: a configuration linear program over the histogram of lengths. A configuration says how many items of each length share one
 container; the program wants the fewest containers whose configurations cover the histogram. It is solved by multiplicative weights:
-each length carries a price, a knapsack dynamic program finds the configuration worth most, and prices of what it covers fall. The
-fractional solution is rounded down, and what is left over is placed by best fit over the histogram.
+each length carries a price, a knapsack dynamic program finds the configuration worth most among the items left, it is used a whole number of
+times (so the solution is feasible and rounded at every step), and the prices of what it covers fall. When configurations no longer fill their
+containers, what is left over is placed by best fit. Prices also bound the optimum from below: their sum over the histogram, divided by
+the value of the best configuration, is a dual solution.
 
 The driver only ever sees the histogram (at most capacity rows, whatever the corpus' size). Items get their containers by their number
 among items of the same length and by a segment table, so no group of items is ever gathered in one task.
@@ -22,35 +24,6 @@ from gleanery.session import cut, load
 CAPACITY = 2048
 
 
-def best_configuration(prices: np.ndarray, capacity: int, counts: np.ndarray) -> np.ndarray:
-    """How many items of each length (index 0: length 1) one container takes so that their prices sum to most; none beyond counts.
-
-    Unbounded knapsack by capacity, every cell over all lengths at once; counts are respected when the configuration is read back.
-    """
-    lengths = np.flatnonzero((counts > 0) & (prices > 0)) + 1
-    take = np.zeros(capacity + 1, np.int64)
-    best = np.zeros(capacity + 1)
-    value = prices[lengths - 1]
-    for c in range(1, capacity + 1):
-        n = np.searchsorted(lengths, c, side="right")
-        best[c] = best[c - 1]
-        if n:
-            options = best[c - lengths[:n]] + value[:n]
-            i = int(options.argmax())
-            if options[i] > best[c]:
-                best[c], take[c] = options[i], lengths[i]
-    out, c, left = np.zeros(capacity, np.int64), capacity, counts.copy()
-    while c > 0:
-        if take[c] and left[take[c] - 1] > 0:
-            out[take[c] - 1] += 1
-            left[take[c] - 1] -= 1
-            c -= int(take[c])
-        else:
-            c -= 1
-    _fill(out, left, capacity)
-    return out
-
-
 def _fill(configuration: np.ndarray, left: np.ndarray, capacity: int) -> None:
     """Use up free room with the largest lengths that still fit."""
     room = capacity - int((configuration * np.arange(1, capacity + 1)).sum())
@@ -65,37 +38,83 @@ def _fill(configuration: np.ndarray, left: np.ndarray, capacity: int) -> None:
         room -= n * length
 
 
-def solve(histogram: np.ndarray, rounds: int = 200, rate: float = 0.5) -> list[tuple[np.ndarray, int]]:
-    """Configurations with the number of containers of each, covering the histogram (index 0: length 1) exactly."""
+def price(weights: np.ndarray, left: np.ndarray, capacity: int, width: int = 96) -> np.ndarray:
+    """The configuration worth most of the items left, none beyond their number: knapsack over the `width` lengths of highest price for their length."""
+    lengths = np.flatnonzero(left > 0) + 1
+    lengths = lengths[np.argsort(-weights[lengths - 1] / lengths, kind="stable")][:width]
+    best, pieces, taken = np.zeros(capacity + 1), [], []
+    for length in lengths.tolist():
+        copies, k = min(int(left[length - 1]), capacity // length), 1
+        while copies > 0:  # copies in powers of two
+            k = min(k, copies)
+            size = k * length
+            trial = best[:-size] + k * weights[length - 1]
+            better = trial > best[size:] + 1e-12
+            best[size:][better] = trial[better]
+            pieces.append((length, k, size))
+            taken.append(better)
+            copies, k = copies - k, 2 * k
+    out, room = np.zeros(capacity, np.int64), capacity
+    for (length, k, size), better in zip(reversed(pieces), reversed(taken)):
+        if room >= size and better[room - size]:
+            out[length - 1] += k
+            room -= size
+    return out
+
+
+def dual_bound(weights: np.ndarray, histogram: np.ndarray) -> float:
+    """Containers that any solution needs, by these prices: no container holds more worth than the best configuration."""
     capacity = len(histogram)
-    plan: list[tuple[np.ndarray, int]] = []
-    left = histogram.astype(np.int64).copy()
-    kinds = np.arange(1, capacity + 1)
-    if left.sum() == 0:
-        return plan
-    # Prices start at the lengths, the dual solution of the relaxation without rounding losses.
-    weights, cover = kinds / capacity, np.zeros(capacity)
-    used: list[np.ndarray] = []
-    times: list[float] = []
-    demand = np.maximum(histogram, 1).astype(float)
-    for _ in range(rounds):
-        config = best_configuration(weights * (histogram > 0), capacity, histogram)
-        held = config > 0
-        step = float((histogram[held] / config[held]).min()) * rate  # so often it can be used before one of its lengths runs out
-        used.append(config)
-        times.append(step)
-        cover += config * step
-        weights = (kinds / capacity) * np.exp(-np.minimum(cover / demand, 60.0))
-        if (cover[histogram > 0] >= histogram[histogram > 0]).all():
+    lengths = np.flatnonzero((histogram > 0) & (weights > 0)) + 1
+    best = np.zeros(capacity + 1)
+    for c in range(1, capacity + 1):
+        fit = lengths[: np.searchsorted(lengths, c, side="right")]
+        best[c] = max(best[c - 1], (best[c - fit] + weights[fit - 1]).max()) if len(fit) else best[c - 1]
+    return float((histogram * weights).sum() / best[capacity]) if best[capacity] > 0 else 0.0
+
+
+def program(histogram: np.ndarray, rounds: int = 4000, slack: float = 0.001, rate: float = 1.0, learning: float = 0.003, rest: float = 0.05) -> tuple[list[tuple[np.ndarray, int]], np.ndarray, float]:
+    """Configurations by multiplicative weights, the items left over, and a lower bound on all containers.
+
+    It ends when a share `rest` of the items is left, when a configuration leaves more than `slack` of its container empty, or after `rounds`.
+    """
+    capacity = len(histogram)
+    kinds, left = np.arange(1, capacity + 1), histogram.astype(np.int64).copy()
+    demand, plan = np.maximum(histogram, 1).astype(float), []
+    weights, bound = kinds / capacity, float((histogram * kinds).sum() / capacity)
+    for done in range(rounds):
+        if left.sum() <= rest * histogram.sum():
+            break
+        for width in (96, 384, capacity):
+            config = price(weights, left, capacity, width)
+            full = int((config * kinds).sum()) >= capacity * (1 - slack)
+            if full:
+                break
+        if not full:
             break
-    # Rounded down, oldest first, as far as items are left: nothing is covered twice.
-    for config, x in zip(used, times):
         held = config > 0
-        n = min(int(x), int((left[held] // config[held]).min()))
-        if n > 0:
-            plan.append((config, n))
-            left -= config * n
-    # The rest: best fit, largest first, whole runs of equal containers at once.
+        n = max(1, int((left[held] // config[held]).min() * rate))  # not all at once: prices keep the rest alike in shape
+        plan.append((config, n))
+        left -= config * n
+        weights = (kinds / capacity) * np.exp(learning * (left - histogram) / demand)
+        if done == 0:
+            bound = max(bound, dual_bound(weights, histogram))
+    return plan, left, bound
+
+
+#: Learning rate and slack of the runs of the program. The plan with the fewest containers is taken; best fit alone competes.
+RUNS = ((0.003, 0.001),)
+
+
+def solve(histogram: np.ndarray, rounds: int = 4000) -> list[tuple[np.ndarray, int]]:
+    """Configurations with the number of containers of each, covering the histogram (index 0: length 1) exactly."""
+    plans = [_complete(*program(histogram, rounds, slack, learning=learning)[:2]) for learning, slack in RUNS]
+    return min([*plans, _complete([], histogram.astype(np.int64).copy())], key=lambda plan: sum(n for _, n in plan))
+
+
+def _complete(plan: list[tuple[np.ndarray, int]], left: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """The rest by best fit, largest first, whole runs of equal containers at once."""
+    capacity = len(left)
     while left.any():
         config = np.zeros(capacity, np.int64)
         trial = left.copy()

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from gleanery.functions.sites import site_of
 from gleanery.session import cut
 
-#: A line is a template if it stands on so many distinct pages, and if its repeats on the hosts that have it are this share of their pages.
-MIN_PAGES, MIN_RATE = 5, 0.001
+#: A line is a template if it stands on so many distinct pages, and if its repeats on the hosts that have it are so many and this share of their pages.
+MIN_PAGES, MIN_AGAIN, MIN_RATE = 5, 3, 0.001
 #: Forms of headings and list items, and lines that stand outside main containers, are known from so many distinct pages by their places.
 FORM_PAGES = 5
 #: A site's own line template stands on at least so many distinct pages of the host, and on this share of them; its own subtrees of several lines likewise.
@@ -322,28 +322,32 @@ def host_main_paths(parsed: DataFrame) -> DataFrame:
 
 
 def distinct_pages(parsed: DataFrame) -> DataFrame:
-    """(rec_id, h) of one page of each group of copies within a host: pages that are the first with most of their signatures."""
-    first = parsed.select("h", "rec_id", F.posexplode("sig").alias("i", "sig")).groupBy("h", "i", "sig").agg(F.min("rec_id").alias("rec_id"))
-    return first.groupBy("h", "rec_id").agg(F.countDistinct("i").alias("n")).where("n > 1").select("rec_id", "h")
+    """(rec_id, h, everywhere) without copies on the same host: pages that are the first with most of their signatures; everywhere: on any host."""
+    signed = parsed.select("h", "rec_id", F.posexplode("sig").alias("i", "sig"))
+    on_host = signed.groupBy("h", "i", "sig").agg(F.min("rec_id").alias("rec_id"))
+    first = on_host.groupBy("i", "sig").agg(F.min(F.struct("rec_id", "h")).alias("x")).select("i", "x.*")
+    kept = on_host.select("i", "rec_id", "h", F.lit(0).alias("wide")).unionByName(first.withColumn("wide", F.lit(1)))
+    return kept.groupBy("h", "rec_id").agg((F.count("*") - F.sum("wide")).alias("n"), (F.sum("wide") > 1).alias("everywhere")).where("n > 1").select("rec_id", "h", "everywhere")
 
 
 def host_counts(parsed: DataFrame) -> DataFrame:
-    """(h, key, type, n, out_n, head_n, item_n, plain_n, size): on how many distinct pages of each host each line or subtree stands, and in which places.
+    """(h, key, type, n, wide, out_n, head_n, item_n, plain_n, size, wide_size): on how many distinct pages of each host each line or subtree stands, and in which places.
 
     type: a for a line, l its leading label, s subtree of several lines. out_n outside the main container, head_n as heading, item_n as list item
-    or code, plain_n in plain texts; size: distinct pages of the host. The rows are
+    or code, plain_n in plain texts; size: distinct pages of the host;
+    wide and wide_size leave out copies of pages on other hosts. The rows are
     partly counted before they are shuffled, so a menu on all pages of a huge host is one row for each task.
     """
     pages = cut(distinct_pages(parsed), "distinct-pages")
-    sizes = cut(pages.groupBy("h").agg(F.count("*").alias("size")), "host-sizes")
+    sizes = cut(pages.groupBy("h").agg(F.count("*").alias("size"), F.count_if("everywhere").alias("wide_size")), "host-sizes")
     slim = parsed.select("rec_id", "h", F.col("lines.a").alias("a"), F.col("lines.b").alias("b"), F.col("lines.l").alias("l"), F.col("lines.kind").alias("kind"), F.col("lines.inside").alias("inside"), F.col("blocks.key").alias("s"))
-    slim = slim.join(pages.select("rec_id"), "rec_id", "left_semi")
-    lines = slim.select("h", F.inline(F.arrays_zip("a", "b", "l", "kind", "inside")))
-    each = lines.select("h", "kind", "inside", F.explode(F.array("a", "b", "l")).alias("key"), F.col("l").alias("__l")).where("key != 0")
-    each = each.select("h", "key", F.when(F.col("key") == F.col("__l"), "l").otherwise("a").alias("type"), "kind", "inside")
-    blocks = slim.select("h", F.explode("s").alias("key"), F.lit("s").alias("type"), F.lit("P").alias("kind"), F.lit(True).alias("inside"))
+    slim = slim.join(pages.select("rec_id", F.col("everywhere").cast("int").alias("wide")), "rec_id")
+    lines = slim.select("h", "wide", F.inline(F.arrays_zip("a", "b", "l", "kind", "inside")))
+    each = lines.select("h", "wide", "kind", "inside", F.explode(F.array("a", "b", "l")).alias("key"), F.col("l").alias("__l")).where("key != 0")
+    each = each.select("h", "wide", "key", F.when(F.col("key") == F.col("__l"), "l").otherwise("a").alias("type"), "kind", "inside")
+    blocks = slim.select("h", "wide", F.explode("s").alias("key"), F.lit("s").alias("type"), F.lit("P").alias("kind"), F.lit(True).alias("inside"))
     is_ = lambda *kinds: F.sum((F.col("inside") & F.col("kind").isin(*kinds)).cast("int"))
-    counted = each.unionByName(blocks).groupBy("h", "key", "type").agg(F.count("*").alias("n"), F.sum((~F.col("inside")).cast("int")).alias("out_n"), is_("H").alias("head_n"), is_("L", "C").alias("item_n"), is_("X").alias("plain_n"))
+    counted = each.unionByName(blocks).groupBy("h", "key", "type").agg(F.count("*").alias("n"), F.sum("wide").alias("wide"), F.sum((~F.col("inside")).cast("int")).alias("out_n"), is_("H").alias("head_n"), is_("L", "C").alias("item_n"), is_("X").alias("plain_n"))
     return counted.join(sizes, "h")
 
 
@@ -357,7 +361,7 @@ def template_table(counts: DataFrame, min_pages: int = MIN_PAGES, min_rate: floa
     HOST_PAGES pages that are HOST_SHARE of them; forms of headings and lists are none.
     """
     lines = counts.where("type <> 's'")
-    total = lines.groupBy("key", "type").agg(F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("again"), F.sum("size").alias("size"), *[F.sum(c).alias(c) for c in ("out_n", "head_n", "item_n", "plain_n")])
+    total = lines.groupBy("key", "type").agg(F.sum("n").alias("n"), F.sum("wide").alias("wide"), F.sum(F.greatest(F.col("wide") - 1, F.lit(0))).alias("again"), F.sum("wide_size").alias("size"), *[F.sum(c).alias(c) for c in ("out_n", "head_n", "item_n", "plain_n")])
     seen = F.col("n") - F.col("plain_n")
     main, P = seen - F.col("out_n"), seen - F.col("out_n") - F.col("head_n") - F.col("item_n")
     kind = (
@@ -367,9 +371,9 @@ def template_table(counts: DataFrame, min_pages: int = MIN_PAGES, min_rate: floa
         .when((F.col("out_n") * 2 > seen) & (seen > 0), "N")
         .otherwise("B")
     )
-    found = total.where(F.col("n") >= min(min_pages, FORM_PAGES)).withColumn("kind", kind)
-    told = F.col("kind").isin("H", "L", "N") & (F.col("n") >= FORM_PAGES)
-    shared = found.where(told | ((F.col("n") >= min_pages) & (F.col("again") >= min_rate * F.col("size")))).select("key", F.lit(None).cast("bigint").alias("h"), "kind")
+    found = total.where(F.col("wide") >= min(min_pages, FORM_PAGES)).withColumn("kind", kind)
+    told = F.col("kind").isin("H", "L", "N") & (F.col("wide") >= FORM_PAGES)
+    shared = found.where(told | ((F.col("wide") >= min_pages) & (F.col("again") >= F.greatest(F.lit(MIN_AGAIN), min_rate * F.col("size"))))).select("key", F.lit(None).cast("bigint").alias("h"), "kind")
     host_form = ((F.col("head_n") * 6 >= F.col("n")) & (F.col("head_n") > F.col("item_n"))) | (F.col("item_n") * 3 >= F.col("n"))
     own = counts.where((F.col("h") != 0) & (F.col("n") >= HOST_PAGES))
     own_lines = own.where((F.col("type") == "a") & ~host_form & (F.col("n") >= HOST_SHARE * F.col("size")) & (F.col("out_n") * 2 <= F.col("n"))).select("key", "h", F.lit("B").alias("kind"))
