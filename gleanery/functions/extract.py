@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 # Where the main text is looked for, in this order (tag, attribute, value).
 MAIN_PLACES = [
-    ("main", "", ""), ("article", "", ""), ("", "role", "main"), ("", "class", "content"), ("", "class", "main-content"), ("", "class", "post-content"), ("", "class", "article-content"), ("", "class", "entry-content"),
-    ("", "id", "content"), ("", "id", "main"), ("", "id", "main-content"), ("", "class", "post"), ("", "class", "article"), ("", "class", "body"),
+    ("main", "", ""), ("article", "", ""), ("", "class", "content"), ("", "class", "post-content"), ("", "class", "entry-content"), ("", "id", "content"),
+    ("", "class", "article-body"), ("", "class", "post-body"), ("", "class", "article-text"), ("", "role", "main"), ("", "class", "main-content"),
+    ("", "class", "page-content"), ("", "class", "content-wrapper"), ("", "class", "story-content"), ("", "class", "article-wrapper"), ("", "class", "text-content"),
 ]
 # Elements without main text, and parts of class and id names that mark noise.
-SKIPPED = frozenset("script style noscript nav header footer aside form iframe button input select textarea svg canvas video audio".split())
-NOISE = ("nav", "menu", "sidebar", "footer", "header", "ad", "banner", "social", "share", "comment", "cookie", "popup")
+SKIPPED = frozenset("script style noscript nav header footer aside menu menuitem figure figcaption button input select textarea form iframe".split())
+NOISE = ("nav", "menu", "sidebar", "footer", "header", "ad", "popup", "banner")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 MIN_NODE, MIN_MAIN, MAX_HEADING, MAX_KEYWORDS = 20, 50, 200, 15
 
@@ -142,12 +143,13 @@ def extract_page(content: str, url: str) -> dict:
     stamp = next((n[1]["datetime"] for n in nodes if n[0] == "time" and n[1].get("datetime")), None)
     title = first("og:title", "twitter:title") or element("title") or element("h1")
     kind = next((d["@type"].lower() for d in data if isinstance(d.get("@type"), str)), None)
+    by_block = next((v for d in data for key in ("author", "publisher") if (v := _name(d.get(key)))), None)
     by_class = next((t for n in nodes if re.search(r"\b(?:author|byline)\b", n[1].get("class", "")) and (t := whole_text(n)) and len(t) < 100), None)
     heads = sorted(((int(n[0][1]), i, whole_text(n)) for i, n in enumerate(nodes) if re.fullmatch("h[1-6]", n[0])), key=lambda x: x[:2])
     return {
         "title": title, "description": first("og:description", "twitter:description", "description"), "keywords": keywords, "content_type": kind, "primary_image": image, "favicon": icon,
-        "published_date": first("article:published_time", "date", "pubdate", "publishdate", "dc.date") or linked("datePublished") or stamp, "modified_date": first("article:modified_time", "last-modified") or linked("dateModified"),
-        "author_name": first("author", "article:author") or linked("author") or linked("publisher") or by_class, "canonical_url": canonical if canonical and canonical != url else None, "main_content": main_text(tree.root),
+        "published_date": first("article:published_time", "datepublished", "date") or linked("datePublished") or stamp, "modified_date": first("article:modified_time", "datemodified", "lastmod") or linked("dateModified"),
+        "author_name": first("article:author", "author") or by_block or by_class, "canonical_url": canonical if canonical and canonical != url else None, "main_content": main_text(tree.root),
         "headings": [{"level": n, "text": t} for n, _, t in heads if t and len(t.encode()) < MAX_HEADING], "error": None,
     }
 

@@ -40,16 +40,26 @@ def inner_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]*>", ""), r"\s+", " "))
 
 
+_META = r"""(?is)<meta[^>]*(?:property|name)=["']{0}["'][^>]*content=["']([^"']*)["']"""
+
+
+def _named(html: Column, names: tuple[str, ...], otherwise: Column) -> Column:
+    """The trimmed content of the first of the names that the page has, null if that is blank; otherwise if it has none."""
+    out = F.when(F.lit(False), None)
+    for name in names:
+        out = out.when(html.rlike(_META.format(name)), F.nullif(F.trim(F.regexp_extract(html, _META.format(name), 1)), F.lit("")))
+    return out.otherwise(otherwise)
+
+
 def title(html: Column) -> Column:
-    """og:title, twitter:title, title element, first h1; null if none has text."""
-    meta = lambda name: F.regexp_extract(html, rf"""(?is)<meta[^>]*(?:property|name)=["']{name}["'][^>]*content=["']([^"']*)["']""", 1)
-    element = lambda tag: inner_text(F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1))
-    return F.coalesce(*[F.nullif(F.trim(x), F.lit("")) for x in (meta("og:title"), meta("twitter:title"), element("title"), element("h1"))])
+    """og:title, else twitter:title (null if the first of them that is there is blank), else the title element, else the first h1 with text."""
+    element = lambda tag: F.nullif(inner_text(F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1)), F.lit(""))
+    return _named(html, ("og:title", "twitter:title"), F.coalesce(element("title"), element("h1")))
 
 
 def description(html: Column) -> Column:
-    meta = lambda name: F.regexp_extract(html, rf"""(?is)<meta[^>]*(?:property|name)=["']{name}["'][^>]*content=["']([^"']*)["']""", 1)
-    return F.coalesce(*[F.nullif(F.trim(meta(x)), F.lit("")) for x in ("og:description", "twitter:description", "description")])
+    """og:description, else twitter:description, else description; null if the first of them that is there is blank."""
+    return _named(html, ("og:description", "twitter:description", "description"), F.lit(None).cast("string"))
 
 
 def headings(html: Column) -> Column:

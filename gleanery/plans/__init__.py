@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules():
-    from gleanery.plans import crawl, dates, insights, intelligence, pages, quality, search, streams, texts, urls
+    from gleanery.plans import crawl, dates, insights, intelligence, pages, quality, reports, search, streams, texts, urls
 
-    return [search, urls, texts, pages, quality, intelligence, insights, crawl, streams, dates]
+    return [search, urls, texts, pages, quality, intelligence, insights, reports, crawl, streams, dates]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -60,6 +60,7 @@ from gleanery.plans.urls import _norm  # noqa: E402
 
 _LET = "length(regexp_replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '[^A-Za-z0-9]', '', 'g'))"
 _META = r"""nullif(trim(regexp_extract(content, '(?is)<meta[^>]*(?:property|name)=["'']{0}["''][^>]*content=["'']([^"'']*)["'']', 1)), '')"""
+_named = lambda name: rf"""WHEN regexp_matches(content, '(?is)<meta[^>]*(?:property|name)=["'']{name}["''][^>]*content=["'']([^"'']*)["'']') THEN {_META.format(name)}"""
 _INNER = r"trim(regexp_replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))"
 _EL = "nullif(" + _INNER.format(r"regexp_extract(content, '(?is)<{0}\b[^>]*>(.*?)</{0}>', 1)").replace("{{0}}", "{0}") + ", '')"
 _strip = "content"
@@ -81,7 +82,7 @@ SQL = {
     "page_language": rf"""WITH a AS (SELECT page_id, content, {_BY_URL} AS u, nullif(lower(regexp_extract(content, 'lang=["'']?([^"''\s>]{{2}})', 1)), '') AS h, regexp_extract_all(lower(regexp_replace(regexp_replace(content, '<[^>]*>', ' ', 'g'), 'https?://\S+', ' ', 'g')), '\p{{L}}+') AS w FROM raw_pages), s AS (SELECT *, {_SHARES} FROM a), b AS (SELECT *, coalesce(u = 'en', false) AS english_url, CASE WHEN coalesce({_BEST}, 0) < 0.08 THEN NULL {" ".join(f"WHEN s_{k} = {_BEST} THEN '{k}'" for k in G.FREQUENT)} END AS by_words FROM s), c AS (SELECT *, CASE WHEN trim(coalesce(content, '')) = '' THEN NULL WHEN english_url THEN 'en' ELSE coalesce(h, by_words) END AS language FROM b)
 SELECT page_id, language, CASE WHEN language IS NULL THEN 0.0 WHEN english_url THEN 0.95 ELSE 0.8 END::DOUBLE AS confidence, english_url, round(len(regexp_extract_all(content, '(?i)\b(?:{'|'.join(G.TECHNICAL)})\b')) / greatest(strlen(content), 1) * 1000, 6) AS technical FROM c""",
     "page_gates": f"SELECT page_id, coalesce(strlen(content) BETWEEN 500 AND 10485760 AND (contains(content, '<html') OR contains(content, '<!DOCTYPE')) AND {_LET.format('content')} > 200, false) AS good, coalesce(regexp_matches(lower(substr(content, 1, 500)), '<html|<!doctype|<head|<body') AND {_LET.format('substr(content, 1, 5000)')} > 300, false) AS promising, coalesce(regexp_matches(lower(substr(content, 1, 1000)), '<html|<!doctype|<body'), false) AS html FROM raw_pages",
-    "page_metadata": f"WITH m AS (SELECT page_id, url, content, coalesce({_META.format('og:title')}, {_META.format('twitter:title')}, {_EL.format('title')}, {_EL.format('h1')}) AS title, coalesce({_META.format('og:description')}, {_META.format('twitter:description')}, {_META.format('description')}) AS description FROM raw_pages), h AS (SELECT *, lower(coalesce(description, '') || ' ' || coalesce(title, '')) AS txt, list_filter({_HEADS}, lambda x: length(x) > 2 AND strlen(x) - 2 < 200) AS h FROM m) SELECT page_id, title, description, CAST(strlen({_strip}) AS INTEGER) AS stripped_bytes, {_TYPE} AS content_type, CAST(coalesce(len(h), -1) AS INTEGER) AS headings, array_to_string(h, '|') AS outline FROM h",
+    "page_metadata": f"WITH m AS (SELECT page_id, url, content, CASE {_named('og:title')} {_named('twitter:title')} ELSE coalesce({_EL.format('title')}, {_EL.format('h1')}) END AS title, CASE {_named('og:description')} {_named('twitter:description')} {_named('description')} END AS description FROM raw_pages), h AS (SELECT *, lower(coalesce(description, '') || ' ' || coalesce(title, '')) AS txt, list_filter({_HEADS}, lambda x: length(x) > 2 AND strlen(x) - 2 < 200) AS h FROM m) SELECT page_id, title, description, CAST(strlen({_strip}) AS INTEGER) AS stripped_bytes, {_TYPE} AS content_type, CAST(coalesce(len(h), -1) AS INTEGER) AS headings, array_to_string(h, '|') AS outline FROM h",
     "page_links": f"WITH {_LINKS} SELECT page_id, target FROM l",
     "discovered_links": f"WITH {_LINKS}, g AS (SELECT target AS url, min(depth + 1) AS depth, count(*) AS inlinks, lower(regexp_extract(target, '^.*?://([^/?#]*)', 1)) AS d FROM l GROUP BY target) SELECT url, CAST(depth AS INTEGER) AS depth, inlinks, {_PRIO} AS priority FROM g WHERE url NOT IN (SELECT url FROM raw_pages)",
     "links_by_host": f"WITH {_LINKS}, p AS (SELECT page_id, {_SITE.format('url')} AS site FROM raw_pages) SELECT p.site, count(DISTINCT p.page_id) AS pages, count(target) AS links, count(*) FILTER ({_SITE.format('target')} <> p.site) AS outward FROM p LEFT JOIN l ON p.page_id = l.page_id GROUP BY p.site",
