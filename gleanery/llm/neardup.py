@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+class _Words(dict):
+    """Hashes of words, made on demand."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Signer:
     """Shingles, sketch and sub-bands of a text."""
 
@@ -52,20 +61,13 @@ class Signer:
         n = 2 * sub_bands * rows
         self.multiply, self.add = _constants(n, seed), _constants(n, seed + 1)
         self.place = _constants(2 * sub_bands, seed + 2)
-        self.words: dict[str, int] = {}
+        self.words = _Words()
 
     def _ids(self, words: list[str]) -> np.ndarray:
-        import xxhash
-
-        known, out = self.words, []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                if len(known) > 500_000:  # memory bound of the cache only
-                    known.clear()
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
-            out.append(h)
-        return np.array(out, np.uint64)
+        known = self.words
+        if len(known) > 500_000:  # memory bound of the cache only
+            known.clear()
+        return np.array([known[w] for w in words], np.uint64)
 
     def shingles(self, words: list[str]) -> np.ndarray:
         """Sorted distinct hashes of runs of `width` words; a text with fewer words is one shingle."""
@@ -81,13 +83,13 @@ class Signer:
         with np.errstate(over="ignore"):
             low = np.full(len(self.multiply), _MASK, np.uint64)
             for at in range(0, len(shingles), 4096):
-                part = _mix(shingles[at : at + 4096, None] * self.multiply + self.add)
+                part = shingles[at : at + 4096, None] * self.multiply + self.add  # shingles are mixed already
                 low = np.minimum(low, part.min(0))
             bands = np.zeros(2 * self.sub_bands, np.uint64)
             for row in low.reshape(2 * self.sub_bands, self.rows).T:
                 bands = _mix(bands ^ row)
             bands = _mix(bands * self.place)
-        return low.astype(np.uint16).astype(np.int32), bands.view(np.int64)
+        return (low >> np.uint64(24)).astype(np.uint16).astype(np.int32), bands.view(np.int64)
 
 
 def _lists(parts, kind):

@@ -107,7 +107,7 @@ class Page:
         stack, line, linked = [0], 0, 0
         found: dict[int, list] = {}
         for m in _TOKEN.finditer(content):
-            text = m.group(5)
+            _, closing, tag, attrs, text = m.groups()
             if text is not None:
                 if text == "\n":
                     line += 1
@@ -115,8 +115,8 @@ class Page:
                 for k, piece in enumerate(text.split("\n")):
                     line += k > 0
                     if piece and not piece.isspace():
-                        shown = html.unescape(piece)
-                        if not shown.isspace():
+                        shown = html.unescape(piece) if "&" in piece else piece
+                        if shown is piece or not shown.isspace():
                             if line in found:
                                 e = found[line]
                                 e[0] += shown
@@ -124,24 +124,26 @@ class Page:
                             else:
                                 found[line] = [shown, len(shown) if linked else 0, stack[-1]]
                 continue
-            tag = m.group(3)
             if tag:
                 tag = tag.lower()
-                if m.group(2):
-                    for k in range(len(stack) - 1, 0, -1):
-                        if tags[stack[k]] == tag:
-                            del stack[k:]
-                            break
+                if closing:
+                    if tags[stack[-1]] == tag and len(stack) > 1:
+                        stack.pop()
+                    else:
+                        for k in range(len(stack) - 1, 0, -1):
+                            if tags[stack[k]] == tag:
+                                del stack[k:]
+                                break
                     if tag == "a" and linked:
                         linked -= 1
-                elif tag not in _VOID and not m.group(4).endswith("/"):
+                elif tag not in _VOID and not attrs.endswith("/"):
                     if tag in ("li", "p", "tr") and tags[stack[-1]] == tag:
                         stack.pop()
                     up = stack[-1]
                     parent.append(up)
                     tags.append(tag)
                     if tag in _SECTION:
-                        path = self.paths[path_of[up]] + ">" + tag + _SPACE.sub(" ", m.group(4))
+                        path = self.paths[path_of[up]] + ">" + tag + (_SPACE.sub(" ", attrs) if attrs else "")
                         if path not in known:
                             known[path] = len(self.paths)
                             self.paths.append(path)
@@ -153,12 +155,15 @@ class Page:
                         section.append(section[up])
                     stack.append(len(tags) - 1)
                     linked += tag == "a"
-            line += m.group(0).count("\n")
+                if attrs:
+                    line += attrs.count("\n")
+            else:
+                line += content.count("\n", m.start(), m.end())
         self.lines = []
         own = [0.0] * len(self.paths)
         spans: dict[int, list[int]] = {}
         for no, (text, link, node) in found.items():
-            text = _SPACE.sub(" ", text).strip()
+            text = " ".join(text.split())
             if not text:
                 continue
             kind, k, top = "P", node, False

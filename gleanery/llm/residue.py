@@ -12,6 +12,7 @@ mostly hold running text besides is quoted by a text about templates and is none
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,7 +76,7 @@ def _nodes(head: tuple[str, ...], length: int) -> tuple[int, int]:
 def nodes_of(sentence: str) -> tuple[int, int]:
     """The leaf of a sentence in the tree and its parent (0: none)."""
     words = sentence.count(" ") + 1
-    return _nodes(tuple(sentence.split(None, DEPTH)[:DEPTH]), next((i for i, n in enumerate(_LENGTHS) if words <= n), len(_LENGTHS)))
+    return _nodes(tuple(sentence.split(None, DEPTH)[:DEPTH]), bisect_left(_LENGTHS, words))
 
 
 def template_of(sentence: str) -> int:
