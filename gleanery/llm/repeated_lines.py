@@ -1,9 +1,11 @@
 """Problem 7: lines repeated across one site's documents.
 
-Method: the document frequency of each line within its source is compared with that of lines outside by Dunn's log-likelihood ratio,
-with false-discovery control over all candidate lines; the repeated lines are anti-joined and each document is put together again by
-position. Two ratios are kept: against the same line in all other sources (is the line peculiar to this source?) and against an
-average line (is it repeated at all?).
+p7_found and p7_clean: the definition asks for the document frequency of each line within its source alone, so frequent_keys decides; the
+repeated lines are anti-joined and each document is put together again by position.
+
+p7_peculiar, p7_peculiar_clean: that frequency is compared with that of lines outside by Dunn's log-likelihood ratio, with false-discovery
+control over all candidate lines. Two ratios are kept: against the same line in all other sources (is the line peculiar to this source?), which
+decides, and against an average line (is it repeated at all?), which is reported.
 """
 
 from __future__ import annotations
@@ -66,14 +68,23 @@ def chunk_lines(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return keyed.join(sources, "document_id", "left")
 
 
+def _line_counts(lines: DataFrame) -> DataFrame:
+    """(source, a, b, documents) of every line."""
+    in_source = lines.select("source", "document_id", F.explode(F.array_distinct("keys")).alias("k")).where("k is not null").select("source", "document_id", "k.*").distinct()
+    return in_source.groupBy("source", "a", "b").agg(F.count("*").alias("documents"))
+
+
+def frequent_keys(lines: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """(source, a, b, documents) of every line in min_documents documents of one source or more."""
+    return _line_counts(lines).where(F.col("documents") >= min_documents)
+
+
 def repeated_keys(lines: DataFrame, min_documents: int = MIN_DOCUMENTS, alpha: float = FALSE_DISCOVERY) -> DataFrame:
     """(source, a, b, documents, outside, peculiar, significant) of every line in min_documents documents of one source or more.
 
     peculiar: its excess over all other sources passes the false-discovery control; significant: that over an average line does.
     """
-    in_source = lines.select("source", "document_id", F.explode(F.array_distinct("keys")).alias("k")).where("k is not null").select("source", "document_id", "k.*").distinct()
-    per_source = in_source.groupBy("source", "a", "b").agg(F.count("*").alias("documents"))
-    per_source = cut(per_source, "line-counts")
+    per_source = cut(_line_counts(lines), "line-counts")
     everywhere = per_source.groupBy("a", "b").agg(F.sum("documents").alias("everywhere"))
     sizes = lines.groupBy("source").agg(F.countDistinct("document_id").alias("size"))
     total = per_source.agg(F.sum("documents").alias("uses"), F.count("*").alias("kinds"))
@@ -94,7 +105,7 @@ def flag_lines(lines: DataFrame, keys: DataFrame) -> DataFrame:
     """(chunk_id, line_no, key columns of repeated_keys) for every line of a chunk that is in keys."""
     each = lines.select("chunk_id", "source", F.posexplode("keys").alias("line_no", "k")).where("k is not null").select("chunk_id", "source", F.col("line_no").cast("long").alias("line_no"), "k.a", "k.b")
     found = each.alias("l").join(keys.alias("k"), (F.col("l.a") == F.col("k.a")) & (F.col("l.b") == F.col("k.b")) & F.col("l.source").eqNullSafe(F.col("k.source")))
-    return found.select("l.chunk_id", "l.line_no", "k.documents", "k.outside", "k.peculiar", "k.significant")
+    return found.select("l.chunk_id", "l.line_no", *[F.col(f"k.{c}") for c in keys.columns if c not in ("source", "a", "b")])
 
 
 def remove_lines(chunks: DataFrame, flagged: DataFrame) -> DataFrame:
@@ -112,23 +123,45 @@ def remove_lines(chunks: DataFrame, flagged: DataFrame) -> DataFrame:
     return chunks.join(again, ["chunk_id", "text_chunk"], "left").withColumn("text_chunk", F.coalesce("__rest", "text_chunk")).drop("__rest").select(*chunks.columns)
 
 
-def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = cut(chunk_lines(load(spark, sf_dir, "doc_chunks"), load(spark, sf_dir, "site_docs")), "chunk-lines")
-    return flag_lines(lines, repeated_keys(lines))
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(chunk_lines(load(spark, sf_dir, "doc_chunks"), load(spark, sf_dir, "site_docs")), "chunk-lines")
+
+
+def _frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    return flag_lines(lines, frequent_keys(lines))
+
+
+def _peculiar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    return flag_lines(lines, repeated_keys(lines).where("peculiar"))
+
+
+def _clean(spark: SparkSession, sf_dir: str, flagged: DataFrame) -> DataFrame:
+    return remove_lines(load(spark, sf_dir, "doc_chunks").select("chunk_id", "document_id", "chunk_index", "text_chunk").distinct(), flagged)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that occur in at least 5 distinct documents of their site."""
-    return _flagged(spark, sf_dir).select("chunk_id", "line_no").distinct()
+    return _frequent(spark, sf_dir).select("chunk_id", "line_no").distinct()
 
 
 def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk without its repeated lines."""
-    chunks = load(spark, sf_dir, "doc_chunks").select("chunk_id", "document_id", "chunk_index", "text_chunk").distinct()
-    return remove_lines(chunks, _flagged(spark, sf_dir))
+    return _clean(spark, sf_dir, _frequent(spark, sf_dir))
+
+
+def p7_peculiar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of p7_found whose excess over all other sites passes the false-discovery control; significant: that over an average line does."""
+    return _peculiar(spark, sf_dir).select("chunk_id", "line_no", "documents", "outside", "significant").distinct()
+
+
+def p7_peculiar_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk without the lines of p7_peculiar."""
+    return _clean(spark, sf_dir, _peculiar(spark, sf_dir))
 
 
-QUERIES = {"p7_found": p7_found, "p7_clean": p7_clean}
+QUERIES = {"p7_found": p7_found, "p7_clean": p7_clean, "p7_peculiar": p7_peculiar, "p7_peculiar_clean": p7_peculiar_clean}
 
 _P7 = r"""
 WITH s AS (SELECT document_id, min(regexp_replace(lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#\s]+)', 1)), '^www\.', '')) AS site FROM site_docs GROUP BY document_id),

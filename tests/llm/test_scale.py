@@ -99,3 +99,16 @@ def test_removed_lines_leave_the_rest_in_order(spark):
     chunks = spark.createDataFrame([("a", "x\ny\nx", 1), ("b", "x", 2), ("c", None, 3), ("d", "z", 4)], "chunk_id string, text_chunk string, line_no int")
     flagged = spark.createDataFrame([("a", 0), ("a", 2), ("a", 2), ("b", 0)], "chunk_id string, line_no bigint")
     assert {r.chunk_id: r.text_chunk for r in repeated_lines.remove_lines(chunks, flagged).collect()} == {"a": "y", "b": "", "c": None, "d": "z"}
+
+
+def test_ratios_decide_in_their_own_queries_only(spark, tmp_path, monkeypatch):
+    chunks = [(f"c{i}", f"d{i}", 0, "Common to all\n" + ("Kept by the harbour" if i < 30 else f"line {chr(97 + i % 26)}{chr(97 + i // 26)}")) for i in range(300)]
+    spark.createDataFrame(chunks, "chunk_id string, document_id string, chunk_index int, text_chunk string").write.parquet(f"{tmp_path}/doc_chunks.parquet")
+    spark.createDataFrame([(f"d{i}", f"https://s{i // 30}.example/{i}") for i in range(300)], "document_id string, url string").write.parquet(f"{tmp_path}/site_docs.parquet")
+    got = {(r.chunk_id, r.line_no) for r in repeated_lines.QUERIES["p7_peculiar"](spark, str(tmp_path)).collect()}
+    assert got == {(f"c{i}", 1) for i in range(30)}
+    clean = {r.chunk_id: r.text_chunk for r in repeated_lines.QUERIES["p7_peculiar_clean"](spark, str(tmp_path)).collect()}
+    assert clean["c0"] == "Common to all" and clean["c30"] == chunks[30][3]
+    monkeypatch.setattr(repeated_lines, "log_likelihood_ratio", None)  # p7_found computes nothing that its rows don't need
+    found = {(r.chunk_id, r.line_no) for r in repeated_lines.p7_found(spark, str(tmp_path)).collect()}
+    assert found == got | {(f"c{i}", 0) for i in range(300)}
