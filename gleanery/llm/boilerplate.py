@@ -18,10 +18,11 @@ from gleanery.llm.pages import BROADCAST_ROWS, SENTENCE_END, Templates, brand_of
 from gleanery.llm.residue import BARE_WORDS, describe, residue_pages, surroundings
 from gleanery.session import cut, discard, load
 
-LABELLED = (
-    "rec_id bigint, host string, boiler array<int>, body_no array<int>, body array<string>, about struct<words:int,text_words:int,"
+ABOUT = (
+    "about struct<words:int,text_words:int,"
     "sentences:array<struct<template:bigint,parent:bigint,context:bigint,notice:boolean,text:boolean>>,nodes:array<bigint>,slots:array<bigint>,empty:int,dummy:boolean,page:bigint,full:boolean>"
 )
+LABELLED = f"rec_id bigint, host string, boiler array<int>, body_no array<int>, body array<string>, {ABOUT}"
 _WORD = re.compile(r"[^\W\d_]+")
 _CODE = re.compile(r"[;{}]\s*$|^\s*(?:def|class|import|from|return|const|let|var|func|if|for|while|SELECT|INSERT|UPDATE)\b.*[(){}=;<>|$]|^\s*(?:#!|//|>>>)|^\s*\$ |^\s*[\w.-]+:\s*(?:true|false|\d+)?\s*$|=>|\w\(.*\)\s*[;:{]?\s*$|\w+ = \w")
 _BULLET = re.compile(r"^\s*(?:[*•‣◦·+-]|\d{1,2}[.)])\s")
@@ -148,7 +149,7 @@ def _about(inside: list[bool], kinds: list[str], elements: list[str], link: list
     return about | {"sentences": about["sentences"] if bare else [], "nodes": [] if bare else about["sentences"], "page": page, "full": full}
 
 
-def _labeller(sent: Templates | None, plain: bool, describing: bool):
+def _labeller(sent: Templates | None, plain: bool, describing: bool, then=None):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -166,10 +167,11 @@ def _labeller(sent: Templates | None, plain: bool, describing: bool):
                 flat, sizes = col["lines"].flatten(), np.diff(col["lines"].offsets.to_numpy()[: batch.num_rows + 1])
                 h = np.repeat(col["h"].to_numpy(), sizes)
                 kinds = [names[k] for k in known.lines(*(flat.field(x).to_numpy() for x in "abl"), h).tolist()]
-                no, texts = flat.field("no").to_pylist(), flat.field("text").to_pylist()
+                listed = lambda x: flat.field(x).to_numpy(zero_copy_only=False).tolist()
+                no, texts = listed("no"), listed("text")
                 ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
                 if not plain:
-                    elements, link, inside, path = (flat.field(x).to_pylist() for x in ("kind", "link", "inside", "path"))
+                    elements, link, inside, path = map(listed, ("kind", "link", "inside", "path"))
                     main, other, paths = (col[n].to_pylist() for n in ("main", "host_main", "paths"))
                     spans, many = col["blocks"].flatten(), np.diff(col["blocks"].offsets.to_numpy()[: batch.num_rows + 1])
                     recurs = (known.many(spans.field("key").to_numpy() ^ np.repeat(col["h"].to_numpy(), many)) == ord("S")).tolist()
@@ -201,17 +203,21 @@ def _labeller(sent: Templates | None, plain: bool, describing: bool):
                     numbers.append([n for n, good in zip(lines, ok) if good])
                     body.append([t for t, good in zip(own, ok) if good])
                 abouts = pa.array(about, kind_of_about) if about else pa.nulls(len(rec), kind_of_about)
+                if then is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(rec, pa.int64()), pa.array(host, pa.string()), abouts, *then(body)], ["rec_id", "host", "about", *[c.split()[0] for c in then.schema.split(", ")]])
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array(rec, pa.int64()), pa.array(host, pa.string()), pa.array(boiler, ints), pa.array(numbers, ints), pa.array(body, strings), abouts], ["rec_id", "host", "boiler", "body_no", "body", "about"])
 
     return run
 
 
-def label(parsed: DataFrame, templates: Templates | DataFrame, titles: DataFrame | None = None, own: DataFrame | None = None, broadcast_rows: int = BROADCAST_ROWS, describing: bool = True) -> DataFrame:
+def label(parsed: DataFrame, templates: Templates | DataFrame, titles: DataFrame | None = None, own: DataFrame | None = None, broadcast_rows: int = BROADCAST_ROWS, describing: bool = True, then=None) -> DataFrame:
     """rec_id, host, boiler (numbers of the lines outside the main body), body_no and body (its lines), for each parsed record.
 
     templates: a template_table, which is broadcast up to broadcast_rows rows and joined beyond. Collected Templates are taken as they are,
     together with own (key, h, kind), by default the hosts' own templates of parsed. titles (rec_id, title) marks plain texts; null titles
-    are allowed. describing: fill about, which residue.py needs. No record is dropped.
+    are allowed. describing: fill about, which residue.py needs. then: makes the columns then.schema of a list of
+    bodies; they stand in place of boiler, body_no and body. No record is dropped.
     """
     if isinstance(templates, Templates):
         own = template_keys(parsed).where("h is not null") if own is None else own
@@ -230,7 +236,7 @@ def label(parsed: DataFrame, templates: Templates | DataFrame, titles: DataFrame
         sent = Templates(templates.collect())
     else:
         rows, columns = rows.join(known_by_record(parsed, templates, part_keys), "rec_id", "left"), [*columns, "known"]
-    return rows.select(*columns).mapInArrow(_labeller(sent, titles is not None, describing), LABELLED)
+    return rows.select(*columns).mapInArrow(_labeller(sent, titles is not None, describing, then), LABELLED if then is None else f"rec_id bigint, host string, {ABOUT}, {then.schema}")
 
 
 def corpus(spark: SparkSession, sf_dir: str, texts: bool = True) -> tuple[DataFrame, DataFrame | None, DataFrame]:

@@ -31,7 +31,10 @@ SMALL_BUCKET = 8
 #: Candidates whose equal minhashes lie so many standard deviations below the threshold are not verified (None: all are).
 DEVIATIONS = 4.0
 
-SIGNED = "rec_id bigint, same bigint, words int, sketch array<int>, bands array<bigint>"
+SIGNED = "same bigint, words int, sketch array<smallint>, bands array<bigint>"
+SIGNED_COLUMNS = [c.split()[0] for c in SIGNED.split(", ")]
+#: Words that are signed in one go.
+GROUP_WORDS = 30_000
 _WORD = re.compile(r"\w+")
 _MASK = (1 << 64) - 1
 
@@ -67,29 +70,54 @@ class Signer:
         known = self.words
         if len(known) > 500_000:  # memory bound of the cache only
             known.clear()
-        return np.array([known[w] for w in words], np.uint64)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
-    def shingles(self, words: list[str]) -> np.ndarray:
-        """Sorted distinct hashes of runs of `width` words; a text with fewer words is one shingle."""
-        ids = self._ids(words)
+    def _runs(self, ids: np.ndarray) -> np.ndarray:
+        """Hashes of the runs of `width` words in order."""
         n = max(1, len(ids) - self.width + 1)
         with np.errstate(over="ignore"):
             mixed = np.zeros(n, np.uint64)
             for k in range(min(self.width, len(ids))):
                 mixed = _mix(mixed * np.uint64(3) + ids[k : k + n] + np.uint64(k))
-        return np.unique(mixed)
+        return mixed
 
-    def sign(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def shingles(self, words: list[str]) -> np.ndarray:
+        """Sorted distinct hashes of runs of `width` words; a text with fewer words is one shingle."""
+        runs = np.sort(self._runs(self._ids(words)))
+        return runs[np.concatenate([[True], runs[1:] != runs[:-1]])]
+
+    def sign(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts as lists of words: hash of the shingle set, sketch and sub-bands, a row for each. All texts go through each hash function together."""
+        sizes = [len(words) for words in texts]
+        runs = self._runs(self._ids([w for words in texts for w in words]))
+        parts, at = [], 0
+        for words, size in zip(texts, sizes):
+            if size < self.width:
+                part = self.shingles(words)
+            else:
+                part = runs[at : at + size - self.width + 1]
+                part.sort()
+            parts.append(part)
+            at += size
+        x = np.concatenate(parts)
+        starts = np.cumsum([0, *map(len, parts[:-1])])
+        distinct = np.concatenate([[True], x[1:] != x[:-1]])
+        distinct[starts] = True
+        counts = np.add.reduceat(distinct.astype(np.int64), starts)
+        x, starts = x[distinct], np.cumsum(counts) - counts
         with np.errstate(over="ignore"):
-            low = np.full(len(self.multiply), _MASK, np.uint64)
-            for at in range(0, len(shingles), 4096):
-                part = shingles[at : at + 4096, None] * self.multiply + self.add  # shingles are mixed already
-                low = np.minimum(low, part.min(0))
-            bands = np.zeros(2 * self.sub_bands, np.uint64)
-            for row in low.reshape(2 * self.sub_bands, self.rows).T:
-                bands = _mix(bands ^ row)
-            bands = _mix(bands * self.place)
-        return (low >> np.uint64(24)).astype(np.uint16).astype(np.int32), bands.view(np.int64)
+            same = np.add.reduceat(_mix(x), starts) ^ counts.astype(np.uint64) ^ np.uint64(1 << 63)
+            low = np.empty((len(self.multiply), len(texts)), np.uint64)
+            hashed = np.empty_like(x)
+            for j, (m, c) in enumerate(zip(self.multiply, self.add)):  # shingles are mixed already
+                np.multiply(x, m, out=hashed)
+                np.add(hashed, c, out=hashed)
+                np.minimum.reduceat(hashed, starts, out=low[j])
+            bands = np.zeros((2 * self.sub_bands, len(texts)), np.uint64)
+            for row in range(self.rows):
+                bands = _mix(bands ^ low[row :: self.rows])
+            bands = _mix(bands * self.place[:, None])
+        return same.view(np.int64), (low >> np.uint64(24)).astype(np.uint16).view(np.int16).T, np.ascontiguousarray(bands.T).view(np.int64)
 
 
 def _lists(parts, kind):
@@ -99,27 +127,63 @@ def _lists(parts, kind):
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, kind)))
 
 
-def _sign_batches(width: int, min_words: int, sub_bands: int, rows: int):
+class Signing:
+    """Columns SIGNED of a list of texts; null where a text has fewer than min_words words."""
+
+    schema = SIGNED
+
+    def __init__(self, width: int = WIDTH, min_words: int = MIN_WORDS, sub_bands: int = SUB_BANDS, rows: int = ROWS):
+        self.min_words, self.signer = min_words, Signer(width, sub_bands, rows)
+
+    def __call__(self, texts: list[str | None]) -> list:
+        import pyarrow as pa
+
+        signer, n = self.signer, len(texts)
+        sizes, same = np.zeros(n, np.int32), np.zeros(n, np.int64)
+        sketches, bands = np.zeros((n, len(signer.multiply)), np.int16), np.zeros((n, len(signer.place)), np.int64)
+        at, group, waiting = [], [], 0
+        for i, text in enumerate(texts):
+            words = _WORD.findall((text or "").lower())
+            if len(words) >= self.min_words:
+                sizes[i] = len(words)
+                at.append(i)
+                group.append(words)
+                waiting += len(words)
+            if group and (waiting >= GROUP_WORDS or i == n - 1):
+                same[at], sketches[at], bands[at] = signer.sign(group)
+                at, group, waiting = [], [], 0
+        none = np.ones(n, bool)
+        none[sizes > 0] = False
+        if self.min_words <= 0:
+            none[:] = False
+
+        def lists(rows):
+            ends = pa.array(np.arange(n + 1, dtype=np.int32) * rows.shape[1])
+            return pa.ListArray.from_arrays(ends, pa.array(rows.ravel()), mask=pa.array(none))
+
+        return [pa.array(same, mask=none), pa.array(sizes, mask=none), lists(sketches), lists(bands)]
+
+
+class _BodySigning(Signing):
+    """The text of a body given as its lines, and its columns SIGNED."""
+
+    schema = "text string, " + SIGNED
+
+    def __call__(self, bodies: list[list[str]]) -> list:
+        import pyarrow as pa
+
+        texts = ["\n".join(lines) for lines in bodies]
+        return [pa.array(texts, pa.string()), *super().__call__(texts)]
+
+
+def _sign_batches(signing: Signing):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        signer = Signer(width, sub_bands, rows)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(ids), 1000):
-                kept, same, sizes, sketches, bands = [], [], [], [], []
-                for rec, text in zip(ids[at : at + 1000], texts[at : at + 1000]):
-                    words = _WORD.findall((text or "").lower())
-                    if len(words) < min_words:
-                        continue
-                    s = signer.shingles(words)
-                    sketch, b = signer.sign(s)
-                    kept.append(rec)
-                    same.append(_whole(s))
-                    sizes.append(len(words))
-                    sketches.append(sketch)
-                    bands.append(b)
-                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(same, pa.int64()), pa.array(sizes, pa.int32()), _lists(sketches, np.int32), _lists(bands, np.int64)], ["rec_id", "same", "words", "sketch", "bands"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield pa.RecordBatch.from_arrays([part.column(0), *signing(part.column(1).to_pylist())], ["rec_id", "same", "words", "sketch", "bands"])
 
     return run
 
@@ -145,7 +209,7 @@ def _shingle_batches(width: int):
 
 def sign(texts: DataFrame, record: str, text: str, width: int = WIDTH, min_words: int = MIN_WORDS, sub_bands: int = SUB_BANDS, rows: int = ROWS) -> DataFrame:
     """rec_id, same (hash of the shingle set), words, sketch and sub-bands of each text with min_words words or more (null: none)."""
-    return texts.select(F.col(record).cast("bigint").alias("rec_id"), F.col(text).alias("text")).mapInArrow(_sign_batches(width, min_words, sub_bands, rows), SIGNED)
+    return texts.select(F.col(record).cast("bigint").alias("rec_id"), F.col(text).alias("text")).mapInArrow(_sign_batches(Signing(width, min_words, sub_bands, rows)), "rec_id bigint, " + SIGNED).where("same is not null")
 
 
 def candidates(heads: DataFrame, small_bucket: int = SMALL_BUCKET) -> DataFrame:
@@ -174,15 +238,18 @@ def candidates(heads: DataFrame, small_bucket: int = SMALL_BUCKET) -> DataFrame:
     return few.unionByName(pairs(full, "whole")).distinct()
 
 
-def class_pairs(signed: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, small_bucket: int = SMALL_BUCKET, deviations: float | None = DEVIATIONS) -> tuple[DataFrame, DataFrame]:
+def class_pairs(signed: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, small_bucket: int = SMALL_BUCKET, deviations: float | None = DEVIATIONS, kept: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, links): (rec_id, class_id) for every signed record, and (class_a, class_b, similarity) for classes at or above similarity.
 
-    signed: see sign, one row for each rec_id; texts (rec_id, text): what was signed, other texts of a rec_id do no harm. class_id is the
-    smallest rec_id with the same shingle set. A candidate must share a table key; its exact similarity decides. Keys of a hot group meet
+    signed: see sign, one row for each rec_id, or several of which kept (rec_id, same) names one; texts (rec_id, text): what was signed, other
+    texts of a rec_id do no harm. class_id is the smallest rec_id with the same shingle set. A candidate must share a table key; its exact similarity decides. Keys of a hot group meet
     only between different shingle sets, as equal ones are one class.
     """
-    members = cut(signed.select("rec_id", "same").distinct().join(signed.groupBy("same").agg(F.min("rec_id").alias("class_id")), "same").select("rec_id", "class_id", "same"), "members")
-    heads = cut(signed.join(members.where("rec_id = class_id").select("class_id").distinct(), signed.rec_id == F.col("class_id")).dropDuplicates(["class_id"]).select("class_id", "same", "sketch", "bands"), "heads")
+    kept = signed.select("rec_id", "same").distinct() if kept is None else kept
+    members = cut(kept.join(kept.groupBy("same").agg(F.min("rec_id").alias("class_id")), "same").select("rec_id", "class_id", "same"), "members")
+    first = members.where("rec_id = class_id").select("class_id", F.col("same").alias("__same")).distinct()
+    heads = signed.join(first, signed.rec_id == F.col("class_id")).where("same = __same").select("class_id", "same", "sketch", "bands")
+    heads = cut(heads.dropDuplicates(["class_id"]), "heads")
     pairs = candidates(heads, small_bucket)
     if deviations is not None:  # sketches first: pairs far below the threshold never meet their shingles
         sa, sb = heads.select(F.col("class_id").alias("class_a"), F.col("sketch").alias("sketch_a")), heads.select(F.col("class_id").alias("class_b"), F.col("sketch").alias("sketch_b"))
@@ -203,14 +270,13 @@ def class_pairs(signed: DataFrame, texts: DataFrame, similarity: float = SIMILAR
 def page_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """class_pairs over the main bodies of raw_pages without the pages that p3_found lists. Of several crawls of a page_id the one with the longest body counts."""
     pages, _, found = corpus(spark, sf_dir, texts=False)
-    labelled = cut(label(pages, found).select("rec_id", "host", "about", F.array_join("body", "\n").alias("text")), "labelled-pages")
+    labelled = cut(label(pages, found, then=_BodySigning()), "labelled-pages")
     discard(pages)
     bad = cut(residue_pages(labelled), "residue")
-    texts = labelled.select("rec_id", "text")
-    signed = sign(texts, "rec_id", "text").join(bad, F.col("rec_id") == F.col("page_id"), "left_anti")
-    longest = F.max_by(F.struct("same", "words", "sketch", "bands"), F.struct("words", "same")).alias("x")
-    signed = cut(signed.groupBy("rec_id").agg(longest).select("rec_id", "x.*"), "signed")
-    return class_pairs(signed, texts)
+    signed = labelled.where("same is not null").select("rec_id", *SIGNED_COLUMNS)
+    kept = signed.select("rec_id", "same", "words").join(bad, F.col("rec_id") == F.col("page_id"), "left_anti")
+    kept = cut(kept.groupBy("rec_id").agg(F.max(F.struct("words", "same")).alias("x")).select("rec_id", "x.same"), "kept")
+    return class_pairs(signed, labelled.select("rec_id", "text"), kept=kept)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

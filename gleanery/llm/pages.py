@@ -38,7 +38,10 @@ SIGNED_LENGTH = 60
 #: Up to so many verdicts (17 bytes each) are sent to all tasks; beyond, they are joined.
 BROADCAST_ROWS = 500_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|head|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w-]*)([^>]*)>|<[!?][^>]*>|([^<]+|<)", re.S | re.I)
+# Groups: what is skipped, (its tag,) a tag's slash, name and attributes, text.
+_TOKEN = re.compile(r"(<!--.*?(?:-->|\Z)|<(script|style|noscript|head|template)\b[^>]*>.*?(?:</\2\s*>|\Z))|<(/?)([a-zA-Z][\w-]*)([^>]*)>|(<[!?][^>]*>)|([^<]+|<)", re.S | re.I)
+#: Contents up to so many characters are taken apart in one go, longer ones token by token.
+_WHOLE = 1 << 20
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SECTION = frozenset("html body div main article section aside nav header footer form table tbody thead tr td th ul ol dl".split())
 _HEADING = frozenset(("h1", "h2", "h3"))
@@ -106,13 +109,13 @@ class Page:
         known, up_path = {"#": 0}, [0]
         stack, line, linked = [0], 0, 0
         found: dict[int, list] = {}
-        for m in _TOKEN.finditer(content):
-            _, closing, tag, attrs, text = m.groups()
-            if text is not None:
-                if text == "\n":
-                    line += 1
+        tokens = _TOKEN.findall(content) if len(content) <= _WHOLE else (m.groups("") for m in _TOKEN.finditer(content))
+        for skipped, _, closing, tag, attrs, mark, text in tokens:
+            if text:
+                if text.isspace():
+                    line += text.count("\n")
                     continue
-                for k, piece in enumerate(text.split("\n")):
+                for k, piece in enumerate(text.split("\n") if "\n" in text else (text,)):
                     line += k > 0
                     if piece and not piece.isspace():
                         shown = html.unescape(piece) if "&" in piece else piece
@@ -158,7 +161,7 @@ class Page:
                 if attrs:
                     line += attrs.count("\n")
             else:
-                line += content.count("\n", m.start(), m.end())
+                line += (skipped or mark).count("\n")
         self.lines = []
         own = [0.0] * len(self.paths)
         spans: dict[int, list[int]] = {}
@@ -187,7 +190,7 @@ class Page:
                 span[1] = at + 1
             if top:
                 own[path] += 300.0
-            if share < 0.5 and size > 20 and SENTENCE_END.search(text) and text.count(" ") >= 4:
+            if share < 0.5 and size > 20 and text.count(" ") >= 4 and SENTENCE_END.search(text):
                 own[path] += size * (1 - share)
         # Weight of each path with all that it holds; a path that several blocks share (paragraphs in div) is no container of its own.
         blocks, weight = [0] * len(self.paths), own[:]

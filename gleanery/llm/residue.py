@@ -31,6 +31,7 @@ _SLOT = re.compile(
     r"\{\{[^{}\n]{0,60}\}\}|\$\{[^{}\n]{1,60}\}|#\{[^{}\n]{1,60}\}|<%=?[^%\n]{1,60}%>|\{%[^%\n]{1,60}%\}|\[\[[^\[\]\n]{1,60}\]\]|%[A-Za-z_][\w.]*%|(?<!\w)__[A-Za-z]\w*?(?:\.\w+)*__(?!\w)"
     r"|@@[A-Za-z][\w.]*@@|\[(?:INSERT|YOUR|ENTER|TODO|PLACEHOLDER|ADD)\b[^\]\n]{0,60}\]|(?<!\w):[A-Z][A-Z_.]{2,}:|\{[A-Za-z_][\w.]*\}|&lt;%=?[^%\n]{1,60}%&gt;"
 )
+_SLOT_MARK = re.compile(r"[{%\[_@:]")
 _EMPTY_VALUE = re.compile(r"\b(?:undefined|null|NaN|None)\b|\[object Object\]")
 # The words that nearly every run of Latin dummy text holds.
 _DUMMY = frozenset("lorem ipsum dolor amet consectetur adipiscing elit".split())
@@ -53,6 +54,8 @@ _EDGES = ".,:;!?…()[]{}«»“”„\"'–—-·|/"
 _SPLIT = re.compile(r" (?:(?<=[.!?…] )|[/|] )")  # lines have single spaces only
 #: Upper ends of the classes of length, in words.
 _LENGTHS = (1, 2, 3, 6, 12)
+_LONG = _LENGTHS[-1] + 1
+_CLASS = [bisect_left(_LENGTHS, n) for n in range(_LONG + 1)]
 
 
 @lru_cache(1 << 16)
@@ -75,8 +78,7 @@ def _nodes(head: tuple[str, ...], length: int) -> tuple[int, int]:
 
 def nodes_of(sentence: str) -> tuple[int, int]:
     """The leaf of a sentence in the tree and its parent (0: none)."""
-    words = sentence.count(" ") + 1
-    return _nodes(tuple(sentence.split(None, DEPTH)[:DEPTH]), bisect_left(_LENGTHS, words))
+    return _nodes(tuple(sentence.split(None, DEPTH)[:DEPTH]), _CLASS[min(sentence.count(" ") + 1, _LONG)])
 
 
 def template_of(sentence: str) -> int:
@@ -97,8 +99,9 @@ def describe(core: list[str], running: list[str]) -> tuple[int, int, list[dict],
 
     sentences: of a bare page (template, parent, context, notice phrase, running text) each; of others only the nodes of the tree.
     """
-    words = sum(x.count(" ") + 1 for x in core)
-    text_words = sum(x.count(" ") + 1 for x in running)
+    whole = "\n".join(core)
+    words = whole.count(" ") + len(core)
+    text_words = "\n".join(running).count(" ") + len(running)
     bare = text_words < BARE_WORDS
     sentences: list | dict
     if bare:
@@ -112,18 +115,23 @@ def describe(core: list[str], running: list[str]) -> tuple[int, int, list[dict],
                 sentences[leaf] = {"template": leaf, "parent": parent, "context": around, "notice": bool(_NOTICE.search(p)), "text": ordinary}
         sentences = list(sentences.values())
     else:
-        sentences = list({n for x in core for p in _SPLIT.split(x) for n in nodes_of(p) if n})
+        met = set()
+        for x in core:
+            for p in _SPLIT.split(x):
+                met.update(_nodes(tuple(p.split(None, DEPTH)[:DEPTH]), _CLASS[min(p.count(" ") + 1, _LONG)]))
+        met.discard(0)
+        sentences = list(met)
     slots, empty = [], 0
     for x in core:
-        if any(c in x for c in "{%[_@:") and (found := list(_SLOT.finditer(x))):
+        if _SLOT_MARK.search(x) and (found := list(_SLOT.finditer(x))):
             for m in found:
                 before, after = _SLOT.sub(" § ", x[: m.start()]), _SLOT.sub(" § ", x[m.end() :])
                 left, right = re.findall(r"[^\W\d]+|§", before)[-2:], re.findall(r"[^\W\d]+|§", after)[:3]
                 slots.append(_hash(f"s:{' '.join(left)}|{' '.join(right)}".lower()) if len(left + right) >= 3 and "§" not in left + right else 0)
-        if "undefined" in x or "null" in x or "NaN" in x or "[object" in x or "None" in x:
-            empty += len(_EMPTY_VALUE.findall(x))
+    if "undefined" in whole or "null" in whole or "NaN" in whole or "[object" in whole or "None" in whole:
+        empty = sum(len(_EMPTY_VALUE.findall(x)) for x in core)
     dummy = False
-    if any("psum" in x or "orem" in x for x in core):
+    if "psum" in whole or "orem" in whole:
         low = [t.lower() for x in running or core for t in _TOKEN.findall(x)]
         hits = [t for t in low if t in _DUMMY]
         dummy = len(hits) >= 2 and len(hits) * 25 >= len(low) and ("lorem" in hits or "ipsum" in hits)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.llm import neardup, packing, repeated_lines
 from gleanery.llm.boilerplate import label
 from gleanery.llm.pages import Page, distinct_pages, parse, template_keys
+from gleanery.llm.residue import residue_pages
 from gleanery.llm.truncation import truncated
 
 
@@ -112,3 +113,23 @@ def test_ratios_decide_in_their_own_queries_only(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(repeated_lines, "log_likelihood_ratio", None)  # p7_found computes nothing that its rows don't need
     found = {(r.chunk_id, r.line_no) for r in repeated_lines.p7_found(spark, str(tmp_path)).collect()}
     assert found == got | {(f"c{i}", 0) for i in range(300)}
+
+
+def test_bodies_are_signed_while_labelled_and_in_groups(spark):
+    rng = random.Random(9)
+    texts = [prose(rng, rng.choice([2, 30, 50, 400])) for _ in range(60)] + ["", None, " ".join(["same"] * 50), prose(rng, 40_000)]
+    together, alone = neardup.Signing(min_words=1)(texts), [neardup.Signing(min_words=1)([t]) for t in texts]
+    assert [c.to_pylist() for c in together] == [[x[k][0].as_py() for x in alone] for k in range(4)]
+    signer = neardup.Signer()
+    words = texts[3].lower().rstrip(".").split()
+    runs = signer.shingles(words)
+    low = (runs[:, None] * signer.multiply + signer.add).min(0)
+    assert together[2][3].as_py() == (low >> np.uint64(24)).astype(np.uint16).view(np.int16).tolist() and together[0][3].as_py() == neardup._whole(runs)
+    rows = pages(2, 8, 10, "This house is kept by friends of the old harbour.") + [(1, "https://h10x0.example/x", "<html><body>\n<h1>Page not found</h1>\n</body></html>")]
+    parsed = parse(spark.createDataFrame(rows, "page_id bigint, url string, content string"), "page_id", "url", "content").cache()
+    found = template_keys(parsed).cache()
+    labelled = label(parsed, found, then=neardup._BodySigning()).cache()
+    plain = neardup.sign(label(parsed, found).select("rec_id", F.array_join("body", "\n").alias("text")), "rec_id", "text")
+    columns = ["rec_id", *neardup.SIGNED_COLUMNS]
+    assert sorted(labelled.where("same is not null").select(columns).collect()) == sorted(plain.select(columns).collect())
+    assert {r.page_id for r in residue_pages(labelled).collect()} == {1}
