@@ -42,6 +42,8 @@ def _paragraph(text: str) -> bool:
 
 def _teaser(text: str, brand: str, templates: Templates) -> bool:
     """A heading form, a colon and a summary."""
+    if ":" not in text:
+        return False
     for m in re.finditer(r":\s", text):
         head = text[: m.start()]
         if len(_WORD.findall(head)) >= 3 and templates.of(*line_keys(head, brand)) == "H":
@@ -60,7 +62,13 @@ def _menu_parts(text: str) -> list[str]:
 def _menu(text: str, brand: str, templates: Templates) -> bool:
     """Several short parts of which most are menu entries."""
     parts = _menu_parts(text)
-    return bool(parts) and sum(templates.of(*line_keys(p, brand)) in ("N", "B") for p in parts) * 3 >= len(parts) * 2
+    others = 0
+    for p in parts:
+        if templates.of(*line_keys(p, brand)) not in ("N", "B"):
+            others += 1
+            if others * 3 > len(parts):  # whatever the rest is
+                return False
+    return bool(parts)
 
 
 def part_keys(text: str, brand: str) -> list[int]:

@@ -36,9 +36,35 @@ SIGNED_COLUMNS = [c.split()[0] for c in SIGNED.split(", ")]
 #: Words that are signed in one go.
 GROUP_WORDS = 30_000
 _WORD = re.compile(r"\w+")
+#: Of Latin-1: letters in lower case, all that is in no word as a space.
+_LATIN_WORDS = bytes(ord(chr(i).lower()) if _WORD.match(chr(i)) else 32 for i in range(256))
+#: Frequent marks outside Latin-1, none of which is in a word.
+_MARKS = "’“”–—‘…"
 _MASK = (1 << 64) - 1
 
 
+def _latin_words(text: str) -> list[str]:
+    return text.encode("latin-1").translate(_LATIN_WORDS).decode("latin-1").split()
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text in lower case, in order; Latin-1 is taken apart without the pattern."""
+    plain = text
+    for mark in _MARKS:
+        if mark in plain:
+            plain = plain.replace(mark, " ")
+    try:
+        return _latin_words(plain)
+    except UnicodeEncodeError:
+        words = []
+    for line, whole in zip(plain.split("\n"), text.split("\n")):
+        try:
+            words += _latin_words(line)
+        except UnicodeEncodeError:
+            words += _WORD.findall(whole.lower())
+    return words
+
+
 def _constants(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
 
@@ -143,7 +169,7 @@ class Signing:
         sketches, bands = np.zeros((n, len(signer.multiply)), np.int16), np.zeros((n, len(signer.place)), np.int64)
         at, group, waiting = [], [], 0
         for i, text in enumerate(texts):
-            words = _WORD.findall((text or "").lower())
+            words = words_of(text or "")
             if len(words) >= self.min_words:
                 sizes[i] = len(words)
                 at.append(i)
@@ -200,7 +226,7 @@ def _shingle_batches(width: int):
 
         signer = Signer(width)
         for batch in batches:
-            found = [signer.shingles(_WORD.findall((t or "").lower())) for t in batch.column(1).to_pylist()]
+            found = [signer.shingles(words_of(t or "")) for t in batch.column(1).to_pylist()]
             same = pa.array([_whole(x) for x in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), same, _lists([x.view(np.int64) for x in found], np.int64)], ["class_id", "same", "shingles"])
 
@@ -234,7 +260,7 @@ def candidates(heads: DataFrame, small_bucket: int = SMALL_BUCKET) -> DataFrame:
         return met.select(F.col("x.class_id").alias("class_a"), F.col("y.class_id").alias("class_b"))
 
     few = pairs(buckets.where(F.col("n") <= small_bucket), "key", F.arrays_overlap("x.marks", "y.marks"))
-    full = buckets.where(F.col("n") > small_bucket).select("class_id", F.explode(F.transform("marks", lambda m: F.xxhash64(F.col("key"), m))).alias("whole"))
+    full = buckets.where(F.col("n") > small_bucket).select("class_id", "key", F.explode("marks").alias("mark")).select("class_id", F.xxhash64("key", "mark").alias("whole"))
     return few.unionByName(pairs(full, "whole")).distinct()
 
 
@@ -248,12 +274,12 @@ def class_pairs(signed: DataFrame, texts: DataFrame, similarity: float = SIMILAR
     kept = signed.select("rec_id", "same").distinct() if kept is None else kept
     members = cut(kept.join(kept.groupBy("same").agg(F.min("rec_id").alias("class_id")), "same").select("rec_id", "class_id", "same"), "members")
     first = members.where("rec_id = class_id").select("class_id", F.col("same").alias("__same")).distinct()
-    heads = signed.join(first, signed.rec_id == F.col("class_id")).where("same = __same").select("class_id", "same", "sketch", "bands")
-    heads = cut(heads.dropDuplicates(["class_id"]), "heads")
+    heads = signed.join(first, signed.rec_id == F.col("class_id")).where("same = __same").select(signed.rec_id.alias("class_id"), "same", "sketch", "bands")
+    heads = cut(heads.dropDuplicates(["class_id", "same"]), "heads")  # a class has one same, and by both the join has put the rows together already
     pairs = candidates(heads, small_bucket)
     if deviations is not None:  # sketches first: pairs far below the threshold never meet their shingles
         sa, sb = heads.select(F.col("class_id").alias("class_a"), F.col("sketch").alias("sketch_a")), heads.select(F.col("class_id").alias("class_b"), F.col("sketch").alias("sketch_b"))
-        alike, n = F.size(F.filter(F.zip_with("sketch_a", "sketch_b", lambda x, y: x == y), lambda x: x)), F.size("sketch_a")
+        alike, n = F.size(F.array_remove(F.zip_with("sketch_a", "sketch_b", lambda x, y: x == y), False)), F.size("sketch_a")
         least = n * similarity - deviations * F.sqrt(n * similarity * (1 - similarity))
         pairs = pairs.join(sa, "class_a").join(sb, "class_b").where(alike >= F.floor(least)).select("class_a", "class_b")
     pairs = cut(pairs, "candidates")

@@ -79,7 +79,7 @@ def _line_keys(text: str, brand: str) -> tuple[int, int, int]:
     b = _NAME.sub("C", a[:cut]) + a[cut:]
     key_a = _hash(a.lower())
     key_b = _hash("b:" + b) if b != a and _MARK.search(b) else 0
-    label = _LABEL.match(a)
+    label = _LABEL.match(a) if ":" in a or "|" in a or "–" in a or "—" in a else None
     key_l = _hash("l:" + label.group(1).lower()) if label and label.group(1).count(" ") < 4 else 0
     return key_a, key_b, key_l
 
@@ -368,8 +368,16 @@ def template_table(counts: DataFrame, min_pages: int = MIN_PAGES, min_rate: floa
     containers are told by that. On a single host it is one from
     HOST_PAGES pages that are HOST_SHARE of them; forms of headings and lists are none.
     """
-    lines = counts.where("type <> 's'")
-    total = lines.groupBy("key", "type").agg(F.sum("n").alias("n"), F.sum("wide").alias("wide"), F.sum(F.greatest(F.col("wide") - 1, F.lit(0))).alias("again"), F.sum("wide_size").alias("size"), *[F.sum(c).alias(c) for c in ("out_n", "head_n", "item_n", "plain_n")])
+    block = F.col("type") == "s"
+    host_form = ((F.col("head_n") * 6 >= F.col("n")) & (F.col("head_n") > F.col("item_n"))) | (F.col("item_n") * 3 >= F.col("n"))
+    own_line = (F.col("type") == "a") & ~host_form & (F.col("n") >= HOST_SHARE * F.col("size")) & (F.col("out_n") * 2 <= F.col("n"))
+    own = (F.col("h") != 0) & (F.col("n") >= HOST_PAGES) & (own_line | (block & (F.col("n") >= BLOCK_SHARE * F.col("size"))))
+    # A line counts for its key on all hosts (of: null), and a host's own template in a group of its own besides: so counts is computed once.
+    everywhere = F.lit(None).cast("bigint")
+    of = F.when(block & own, F.array("h")).when(block, F.array().cast("array<bigint>")).when(own, F.array(everywhere, "h")).otherwise(F.array(everywhere))
+    again = F.greatest(F.col("wide") - 1, F.lit(0)).alias("again")
+    rows = counts.select("key", "type", F.explode(of).alias("of"), "n", "wide", again, F.col("wide_size").alias("size"), "out_n", "head_n", "item_n", "plain_n")
+    total = rows.groupBy("key", "type", "of").agg(*[F.sum(c).alias(c) for c in ("n", "wide", "again", "size", "out_n", "head_n", "item_n", "plain_n")])
     seen = F.col("n") - F.col("plain_n")
     main, P = seen - F.col("out_n"), seen - F.col("out_n") - F.col("head_n") - F.col("item_n")
     kind = (
@@ -379,14 +387,10 @@ def template_table(counts: DataFrame, min_pages: int = MIN_PAGES, min_rate: floa
         .when((F.col("out_n") * 2 > seen) & (seen > 0), "N")
         .otherwise("B")
     )
-    found = total.where(F.col("wide") >= min(min_pages, FORM_PAGES)).withColumn("kind", kind)
-    told = F.col("kind").isin("H", "L", "N") & (F.col("wide") >= FORM_PAGES)
-    shared = found.where(told | ((F.col("wide") >= min_pages) & (F.col("again") >= F.greatest(F.lit(MIN_AGAIN), min_rate * F.col("size"))))).select("key", F.lit(None).cast("bigint").alias("h"), "kind")
-    host_form = ((F.col("head_n") * 6 >= F.col("n")) & (F.col("head_n") > F.col("item_n"))) | (F.col("item_n") * 3 >= F.col("n"))
-    own = counts.where((F.col("h") != 0) & (F.col("n") >= HOST_PAGES))
-    own_lines = own.where((F.col("type") == "a") & ~host_form & (F.col("n") >= HOST_SHARE * F.col("size")) & (F.col("out_n") * 2 <= F.col("n"))).select("key", "h", F.lit("B").alias("kind"))
-    own_blocks = own.where((F.col("type") == "s") & (F.col("n") >= BLOCK_SHARE * F.col("size"))).select("key", "h", F.lit("S").alias("kind"))
-    return shared.unionByName(own_lines).unionByName(own_blocks).distinct()
+    told = kind.isin("H", "L", "N") & (F.col("wide") >= FORM_PAGES)
+    shared = (F.col("wide") >= min(min_pages, FORM_PAGES)) & (told | ((F.col("wide") >= min_pages) & (F.col("again") >= F.greatest(F.lit(MIN_AGAIN), min_rate * F.col("size")))))
+    verdict = F.when(F.col("of").isNotNull(), F.when(block, "S").otherwise("B")).when(shared, kind)
+    return total.select("key", F.col("of").alias("h"), verdict.alias("kind")).where("kind is not null").distinct()
 
 
 def template_keys(parsed: DataFrame, min_pages: int = MIN_PAGES, min_rate: float = MIN_RATE) -> DataFrame:

@@ -32,6 +32,7 @@ _SLOT = re.compile(
     r"|@@[A-Za-z][\w.]*@@|\[(?:INSERT|YOUR|ENTER|TODO|PLACEHOLDER|ADD)\b[^\]\n]{0,60}\]|(?<!\w):[A-Z][A-Z_.]{2,}:|\{[A-Za-z_][\w.]*\}|&lt;%=?[^%\n]{1,60}%&gt;"
 )
 _SLOT_MARK = re.compile(r"[{%\[_@:]")
+_SLOT_CODE = re.compile(r":[A-Z][A-Z_.]{2,}:")
 _EMPTY_VALUE = re.compile(r"\b(?:undefined|null|NaN|None)\b|\[object Object\]")
 # The words that nearly every run of Latin dummy text holds.
 _DUMMY = frozenset("lorem ipsum dolor amet consectetur adipiscing elit".split())
@@ -49,6 +50,9 @@ _NOTICE = re.compile(
     r"|niet gevonden|interne fout|^fout\b|geweigerd|geen rechten|onderhoud|is verwijderd|kon niet|zo terug|niet beschikbaar|zonder scripts|bestaat niet meer"
     r"|не найден|внутренняя ошибка|^ошибка|запрещ[её]н|нет прав|скрипт|техническ\w+ работ|обслуживани|удалена|не удалось|скоро верн[её]мся|недоступн|больше не существует"
 )
+#: The same for text in lower case, and characters whose lower case is all that (?i) makes of them: such text is searched faster.
+_LOW_NOTICE = re.compile(_NOTICE.pattern.removeprefix("(?i)"))
+_SIMPLE_CASE = re.compile(r"[\x00-\xb4\xb6-\xff\u0400-\u045f\u2010-\u203a]*")
 _TOKEN = re.compile(r"\w[\w'’-]*")
 _EDGES = ".,:;!?…()[]{}«»“”„\"'–—-·|/"
 _SPLIT = re.compile(r" (?:(?<=[.!?…] )|[/|] )")  # lines have single spaces only
@@ -94,6 +98,21 @@ def surroundings(core: list[str], running: list[str]) -> tuple[int, bool]:
     return _hash("p:" + "\n".join(longest)), besides >= BARE_WORDS
 
 
+def has_notice(text: str) -> bool:
+    """Whether a phrase of notices stands in the text."""
+    return bool(_LOW_NOTICE.search(text.lower()) if _SIMPLE_CASE.fullmatch(text) else _NOTICE.search(text))
+
+
+def _sentences_of(whole: str, core: list[str]) -> list[str]:
+    """The parts of all lines of core (whole: joined by line ends) as _SPLIT makes them, mostly by plain replacements."""
+    if " / " in whole and " | " in whole:  # these may overlap
+        return [p for x in core for p in _SPLIT.split(x)]
+    for end in (". ", "! ", "? ", "… "):
+        if end in whole:
+            whole = whole.replace(end, end[0] + "\n")
+    return whole.replace(" / ", "\n").replace(" | ", "\n").split("\n")
+
+
 def describe(core: list[str], running: list[str]) -> tuple[int, int, list[dict], list[int], int, bool]:
     """Of a page's main area: words, words of running text, sentences, contexts of slots (0 for none), empty values, dummy text.
 
@@ -112,17 +131,17 @@ def describe(core: list[str], running: list[str]) -> tuple[int, int, list[dict],
         for i, ((leaf, parent), (p, ordinary)) in enumerate(zip(leaves, parts)):
             if leaf:
                 around = hash((leaves[i - 1][0] if i else 0, leaves[i + 1][0] if i + 1 < len(leaves) else 0))
-                sentences[leaf] = {"template": leaf, "parent": parent, "context": around, "notice": bool(_NOTICE.search(p)), "text": ordinary}
+                sentences[leaf] = {"template": leaf, "parent": parent, "context": around, "notice": has_notice(p), "text": ordinary}
         sentences = list(sentences.values())
     else:
         met = set()
-        for x in core:
-            for p in _SPLIT.split(x):
-                met.update(_nodes(tuple(p.split(None, DEPTH)[:DEPTH]), _CLASS[min(p.count(" ") + 1, _LONG)]))
+        for p in _sentences_of(whole, core):
+            met.update(_nodes(tuple(p.split(None, DEPTH)[:DEPTH]), _CLASS[min(p.count(" ") + 1, _LONG)]))
         met.discard(0)
         sentences = list(met)
     slots, empty = [], 0
-    for x in core:
+    marked = "{" in whole or "%" in whole or "[" in whole or "__" in whole or "@@" in whole or _SLOT_CODE.search(whole)
+    for x in core if marked else ():
         if _SLOT_MARK.search(x) and (found := list(_SLOT.finditer(x))):
             for m in found:
                 before, after = _SLOT.sub(" § ", x[: m.start()]), _SLOT.sub(" § ", x[m.end() :])

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import neardup, packing, repeated_lines
 from gleanery.llm.boilerplate import label
-from gleanery.llm.pages import Page, distinct_pages, parse, template_keys
-from gleanery.llm.residue import residue_pages
+from gleanery.llm.pages import Page, distinct_pages, parse, template_keys, template_table
+from gleanery.llm.residue import _NOTICE, _SPLIT, _sentences_of, has_notice, residue_pages
 from gleanery.llm.truncation import truncated
 
 
@@ -133,3 +133,24 @@ def test_bodies_are_signed_while_labelled_and_in_groups(spark):
     columns = ["rec_id", *neardup.SIGNED_COLUMNS]
     assert sorted(labelled.where("same is not null").select(columns).collect()) == sorted(plain.select(columns).collect())
     assert {r.page_id for r in residue_pages(labelled).collect()} == {1}
+
+
+def test_counts_of_hosts_are_computed_once(spark):
+    columns = "h bigint, key bigint, type string, n bigint, wide bigint, out_n bigint, head_n bigint, item_n bigint, plain_n bigint, size bigint, wide_size bigint"
+    rows = [(1, 10, "a", 8, 8, 0, 0, 0, 0, 10, 10), (2, 10, "a", 1, 1, 0, 0, 0, 0, 90, 90), (1, 11, "s", 3, 3, 0, 0, 0, 0, 10, 10), (2, 11, "s", 3, 3, 0, 0, 0, 0, 90, 90)]
+    rows += [(0, 12, "a", 4, 4, 0, 0, 0, 0, 4, 4), (1, 13, "a", 3, 3, 0, 0, 0, 0, 10, 10), (3, 14, "a", 3, 3, 0, 0, 0, 0, 4, 4), (3, 15, "l", 6, 6, 6, 0, 0, 0, 6, 6), (3, 16, "a", 6, 6, 0, 6, 0, 0, 6, 6)]
+    found = template_table(spark.createDataFrame(rows, columns))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(10, None, "B"), (10, 1, "B"), (11, 1, "S"), (14, 3, "B"), (15, None, "B"), (16, None, "H")], key=str)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_ways_without_patterns_equal_the_patterns():
+    rng = random.Random(11)
+    odd = ["Not Found", "ОШИБКА", "ΑΣ’ΑΣ", "İx", "ſ", "\u212a", "µ", "ß", "²", "LOG IN", "Não Encontrad", "не найдЁн", "…", "“a”", "\xa0", "_", "7.", "x!", "—", "’", "/", "|", ".", ",", "sorry"]
+    texts = ["", *(rng.choice([" ", "\n", ""]).join(rng.choice(odd) for _ in range(rng.randrange(1, 9))) for _ in range(5000))]
+    for text in texts:
+        assert neardup.words_of(text) == neardup._WORD.findall(text.lower())
+        assert has_notice(text) == bool(_NOTICE.search(text))
+    for _ in range(5000):
+        core = [line for line in (" ".join("".join(rng.choice(texts)).split()) for _ in range(rng.randrange(1, 4))) if line]
+        assert [p for p in _sentences_of("\n".join(core), core) if p] == [p for x in core for p in _SPLIT.split(x) if p]
