@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gleanery.functions.url import bare_domain, crawl_priority, domain_rank
 from gleanery.operators import search as S
 from gleanery.operators.ranking import distributed_row_number
-from gleanery.session import cut, load
+from gleanery.session import cut, discard, load
 
 AS_OF, COOLDOWN_S, RECENT_DAYS, FEED_HOURS, SITEMAP_HOURS = "2025-06-01 00:00:00", 60, 365, 48, 168
 MAX_DEPTH, QUEUE_SIZE = 3, 20_000
@@ -195,8 +195,10 @@ def batch_search(spark, d):
     """The ten best documents for each of many queries (the titles of documents whose id is divisible by 20), over stored postings."""
     docs = load(spark, d, "documents").select("doc_id", "text", "source")
     queries = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(S.tokens(F.col("text")), 1, 3), " ").alias("query"))
-    stored = cut(S.postings(docs, "doc_id", "text").select("term", "doc_id", "tf", "length"), "postings")
-    return S.search_postings(stored, docs, "doc_id", queries, 10).select("query_id", "doc_id", "score", "place")
+    stored = cut(S.document_postings(docs, "doc_id", "text"), "postings")
+    found = S.search_postings(stored, docs, "doc_id", queries, 10).select("query_id", "doc_id", "score", "place")
+    discard(stored)
+    return found
 
 
 QUERIES = {
